@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import hot
+from cadenza.plans import hot, small_files
 
-QUERIES = {**hot.QUERIES}
-SQL = {**hot.SQL}
+QUERIES = {**hot.QUERIES, **small_files.QUERIES}
+SQL = {**hot.SQL, **small_files.SQL}
 FLAGSHIP = "p2_found"
