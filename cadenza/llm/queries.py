@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import is_blank, is_silence
-from cadenza.llm import runs, xfast
+from cadenza.llm import langid, runs, xfast
 from cadenza.session import table
 
 
@@ -34,6 +34,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_runs(spark, sf_dir).where("kind = 'talk' and n_events >= 2").select("prediction_id", "start_second", "end_second", "n_events")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return (langid.label_documents(docs, langid.fit_on(docs)).where("n_langs > 1 or given is null or given <> lang")
+            .select(F.col("key").alias("doc_id"), "lang"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every document with its language and confidence."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.label_passages(docs, langid.fit_on(docs)).withColumnRenamed("key", "doc_id")
+
+
 _SILENT = r"""regexp_matches(lower({0}), '^[\s"'']*silent[\s"'']*[.]?[\s"'']*$') OR trim({0}) = '<|silent|>' OR regexp_matches({0}, '^[\s ​﻿]*$')"""
 SQL = {
     "p4_found": f"""WITH g AS (SELECT gen_id, session_id s, CAST(round(coalesce(timestamp_in_stream, frame_idx_in_stream) * 1000000) AS BIGINT) t FROM gen_frames
@@ -44,4 +56,4 @@ SQL = {
             FROM g JOIN r ON g.s = r.s WHERE abs(g.t - r.t) <= 2000000)
         SELECT ref_id, gen_id FROM j WHERE n = 1""",
 }
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p8_found": p8_found, "p8_passages": p8_passages}
