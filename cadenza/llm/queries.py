@@ -6,10 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import is_blank, is_silence
-from cadenza.llm import langid, runs, xfast
+from cadenza.llm import langid, pairs, runs, xfast
 from cadenza.session import table
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.pairs_of(table(spark, sf_dir, "predictions"))
+    return pairs.label_pairs(found, pairs.fit_on(found)[0])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).where("defect is not null")
+
+
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by defect; sound pairs have a NULL defect."""
+    return _pairs(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def _frames(df: DataFrame, text: str, name: str) -> DataFrame:
     """Talking frames with a time; the frame index stands in for a NULL timestamp."""
     talks = F.col(text).isNotNull() & ~is_silence(F.col(text)) & ~is_blank(F.col(text))
@@ -56,4 +70,4 @@ SQL = {
             FROM g JOIN r ON g.s = r.s WHERE abs(g.t - r.t) <= 2000000)
         SELECT ref_id, gen_id FROM j WHERE n = 1""",
 }
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p8_found": p8_found, "p8_passages": p8_passages}
