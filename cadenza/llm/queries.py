@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import is_blank, is_silence
-from cadenza.llm import langid, pairs, runs, xfast
-from cadenza.session import table
+from functools import reduce
+
+from cadenza.llm import langid, mixing, packing, pairs, runs, tokens, xfast
+from cadenza.session import table, written
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_runs(spark, sf_dir).where("kind = 'talk' and n_events >= 2").select("prediction_id", "start_second", "end_second", "n_events")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return written(tokens.with_sizes(docs, "text").drop("text"), "sizes")
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document's pieces, for every capacity."""
+    sizes = _sized(spark, sf_dir)
+    each = [packing.pack(sizes, r["capacity_tokens"]).select(F.lit(r["pack_name"]).alias("pack_name"), "*")
+            for r in table(spark, sf_dir, "pack_sizes").collect()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, tokens, the fewest containers that any packing needs, and the share filled."""
+    per = p6_packed(spark, sf_dir).groupBy("pack_name", "container").agg(F.sum("size").alias("filled"), F.count(F.lit(1)).alias("n_pieces"))
+    per = per.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("filled").alias("tokens"), F.max("filled").alias("fullest"))
+    return per.join(table(spark, sf_dir, "pack_sizes"), "pack_name").withColumn(
+        "least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn(
+        "share_filled", F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in every mix, with its place."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return (langid.label_documents(docs, langid.fit_on(docs)).where("n_langs > 1 or given is null or given <> lang")
@@ -70,4 +103,5 @@ SQL = {
             FROM g JOIN r ON g.s = r.s WHERE abs(g.t - r.t) <= 2000000)
         SELECT ref_id, gen_id FROM j WHERE n = 1""",
 }
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p6_packed": p6_packed, "p6_fill": p6_fill,
+           "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
