@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import hot, small_files
+from cadenza.plans import core, hot, small_files
 
-QUERIES = {**hot.QUERIES, **small_files.QUERIES}
-SQL = {**hot.SQL, **small_files.SQL}
-FLAGSHIP = "p2_found"
+QUERIES = {**core.QUERIES, **hot.QUERIES, **small_files.QUERIES}
+SQL = {**core.SQL, **hot.SQL, **small_files.SQL}
+FLAGSHIP = "category_distribution"
