@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.numbers import judge_points
 from cadenza.functions.silence import PLACEHOLDERS_STREAM
 from cadenza.operators import greedy
-from cadenza.operators.turns import question, stream_frames
+from cadenza.operators.turns import computed, question, stream_frames
 
 
 def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str, ...] = PLACEHOLDERS_STREAM,
@@ -21,10 +21,10 @@ def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str,
     one it gives no row if that reference is paired, else NoResponse. `judge` maps (question, response, answer)
     columns to a struct of score 0..5 and explanation. NULL conversations give no rows; a NULL type is `unknown`.
     """
-    d = (df.select(F.col(key), F.coalesce("type", F.lit("unknown")).alias("scene_type"), F.coalesce(question(), F.lit("")).alias("question"),
-                   stream_frames(placeholders).alias("f"))
-         .withColumn("cand", greedy.candidates("f", width)).withColumn("m", greedy.matched("cand"))
-         .withColumn("of_pred", F.expr("map_from_entries(transform(m, x -> struct(x.i, x.j)))"))
+    d = computed(df, "f", stream_frames(placeholders)).select(
+        F.col(key), F.coalesce("type", F.lit("unknown")).alias("scene_type"), F.coalesce(question(), F.lit("")).alias("question"), "f")
+    d = computed(computed(d, "cand", greedy.candidates("f", width)), "m", greedy.matched("cand"))
+    d = (d.withColumn("of_pred", F.expr("map_from_entries(transform(m, x -> struct(x.i, x.j)))"))
          .withColumn("in_band", F.expr("array_distinct(transform(cand, x -> x.i))"))
          .withColumn("answered", F.expr("transform(m, x -> x.j)")))
     e = d.select(key, "scene_type", "question", "f", "of_pred", "in_band", "answered", F.explode("f").alias("x")).select(

@@ -9,7 +9,7 @@ from cadenza.functions import numbers, paths, silence
 from cadenza.functions.jsontext import judge_reply
 from cadenza.models import Echo, generate, table_embeddings
 from cadenza.operators import assign, classify, greedy, merge, messages, metrics, sampling, segment
-from cadenza.operators.turns import first_instruction, last_assistant, stream_frames, turns
+from cadenza.operators.turns import computed, last_assistant, stream_frames, turns
 from cadenza.plans import pipeline, report
 from cadenza.session import table, written
 from cadenza.streaming import replay
@@ -85,8 +85,8 @@ _SEG = f"""{_PT},
 a AS (SELECT prediction_id AS k, row_number() OVER (PARTITION BY prediction_id ORDER BY pos) - 1 AS ord, ts, {_aligned('c.pred')} AS gen, coalesce({_aligned('value')}, '') AS ref FROM turns WHERE role = 'assistant'),
 b AS (SELECT * FROM a WHERE gen IS NOT NULL AND ts IS NOT NULL),
 r AS (SELECT k, ts, lag(ts) OVER (PARTITION BY k ORDER BY ts, ord) AS prev FROM b WHERE ref <> ''),
-mid AS (SELECT k, (ts + prev) / 2 AS at FROM r WHERE prev IS NOT NULL),
-u AS (SELECT k, ts, ord, gen, ref, 0 AS is_mid FROM b UNION ALL SELECT k, at, -1, NULL, NULL, 1 FROM mid),
+mid AS (SELECT k, (ts + prev) / 2 AS border FROM r WHERE prev IS NOT NULL),
+u AS (SELECT k, ts, ord, gen, ref, 0 AS is_mid FROM b UNION ALL SELECT k, border, -1, NULL, NULL, 1 FROM mid),
 s AS (SELECT *, sum(is_mid) OVER (PARTITION BY k ORDER BY ts, is_mid DESC, ord ROWS UNBOUNDED PRECEDING) AS seg FROM u),
 fr AS (SELECT k, seg, row_number() OVER (PARTITION BY k, seg ORDER BY ts, ord) - 1 AS pos, ts, gen, ref FROM s WHERE is_mid = 0)"""
 _VEC = "vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -126,7 +126,7 @@ def path_suffix(spark, sf_dir):
     return s.select("sample_id", paths.with_interval(F.col("videos")[0], F.col("endpoint_timestamp"), F.col("endpoint_timestamp") + 1).alias("path"))
 
 
-@query(rf"""WITH s AS (SELECT chunk_id, string_split({_STEM.format(p="regexp_replace(path, '^\s+|\s+$', '', 'g')")}, '_') AS x FROM chunks), y AS (SELECT chunk_id, try_cast(x[-2] AS INTEGER) AS a, try_cast(x[-1] AS INTEGER) AS b FROM s)
+@query(rf"""WITH s AS (SELECT chunk_id, string_split({_STEM.format(p="trim(path)")}, '_') AS x FROM chunks), y AS (SELECT chunk_id, try_cast(x[-2] AS INTEGER) AS a, try_cast(x[-1] AS INTEGER) AS b FROM s)
     SELECT chunk_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a ELSE 0 END AS "start", CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b ELSE 0 END AS "end" FROM y""")
 def parse_interval(spark, sf_dir):
     """The interval in a clip's name; (0, 0) where there is none."""
@@ -365,7 +365,7 @@ def _matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def assigned_free(spark, sf_dir):
     """AS4, AS5 where the reference's own frame is silent: the winner of each segment."""
     f, m = _matched(spark, sf_dir)
-    one = f.groupBy("prediction_id", "seg").agg(F.count_if("ref <> ''").alias("r") if False else F.count_if(F.col("ref") != "").alias("r"), F.count_if((F.col("ref") != "") & (F.col("gen") != "")).alias("b")).where("r = 1 and b = 0")
+    one = f.groupBy("prediction_id", "seg").agg(F.count_if(F.col("ref") != "").alias("r"), F.count_if((F.col("ref") != "") & (F.col("gen") != "")).alias("b")).where("r = 1 and b = 0")
     return m.where("kind = 'matched'").join(one, ["prediction_id", "seg"], "left_semi").select("prediction_id", "seg", "i", "j", F.round("cost", 6).alias("cost"), F.round("score", 6).alias("score"))
 
 
@@ -451,7 +451,8 @@ def band_pairs(spark, sf_dir):
 @query(f"WITH RECURSIVE {_FRAMES}, {_BAND}, {_GREEDY} SELECT k AS prediction_id, i, j FROM m")
 def greedy_pairs(spark, sf_dir):
     """AS6, W7: greedy nearest-first matching of talking preds and references."""
-    f = _predictions(spark, sf_dir).select("prediction_id", stream_frames(silence.PLACEHOLDERS_STREAM).alias("f")).withColumn("cand", greedy.candidates("f", 2.0))
+    f = computed(_predictions(spark, sf_dir), "f", stream_frames(silence.PLACEHOLDERS_STREAM)).select("prediction_id", "f")
+    f = computed(f, "cand", greedy.candidates("f", 2.0))
     return f.select("prediction_id", F.explode(greedy.matched("cand")).alias("x")).select("prediction_id", "x.i", "x.j")
 
 
