@@ -151,7 +151,7 @@ def same_second_answers(spark, sf_dir):
 
 
 @query("""SELECT video, seconds, CASE WHEN seconds > 0 THEN CAST(ceil(seconds / 5) AS INTEGER) ELSE 0 END AS n_chunks, round(1 - exp(-0.01 * power(seconds, 2)), 9) AS cost,
-    greatest(0.0, least(5.0, seconds / 20)) * 20 AS points FROM durations""")
+    CASE WHEN seconds IS NOT NULL THEN greatest(0.0, least(5.0, seconds / 20)) * 20 END AS points FROM durations""")
 def numeric_functions(spark, sf_dir):
     """M1, M4, M6: distance cost, clamped points, chunk counts."""
     s = F.col("seconds")

@@ -21,7 +21,9 @@ def read_json_documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """
     df = (spark.read.schema(f"{ddl}, _corrupt_record STRING").option("multiLine", True).option("recursiveFileLookup", True)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").json(path))
-    return df.withColumn("file", F.col("_metadata.file_path")).where("_corrupt_record is null").drop("_corrupt_record")
+    known = [c for c in df.columns if c != "_corrupt_record"]
+    some = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in known], F.lit(False))  # an object without any known field is empty
+    return df.withColumn("file", F.col("_metadata.file_path")).where(F.col("_corrupt_record").isNull() & some).drop("_corrupt_record")
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
