@@ -2,7 +2,7 @@
 
 The plan is made on the driver from the histogram of sizes, which has at most capacity + 1 entries whatever the
 data's size. Sizes above capacity / `small` are large: they are split into groups of equal cardinality, each rounded
-up to its largest size; a linear program over configurations (column generation, knapsack pricing) says how many
+up to its largest size (a size with a group's share of items is a group); a linear program over configurations (column generation, knapsack pricing) says how many
 containers of each configuration to make; actual items then take the rounded ones' places, so that a container's
 true space left is known from the ranks of its items. Small sizes go, largest first, to the containers with the least
 space that holds them; what is left over opens new containers. The plan is a list of rank ranges of each size, with the
@@ -95,7 +95,7 @@ def _knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float
     return best[cap], column
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 20, small: int = 8) -> Plan:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 32, small: int = 8) -> Plan:
     """A plan for `histogram` (size -> number of items), sizes from 0 to the capacity."""
     segments: list[tuple[int, int, int, int, int]] = []
     room: dict[int, list[tuple[int, int]]] = {}  # space left -> (first container, how many)
@@ -112,15 +112,19 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 20, small: int
     large = sorted((s for s, c in histogram.items() if s * small > capacity and c), reverse=True)
     total = sum(histogram[s] for s in large)
     if total:
+        # a size that has a group's share by itself is a group, so that its items are not rounded up
+        alone = {s for s in large if histogram[s] * groups >= total}
+        others = sum(histogram[s] for s in large if s not in alone)
         members: list[list[int]] = []
-        before = 0
+        before, last = 0, None
         for s in large:
-            g = before * groups // total
-            if not members or g != last:
+            g = ("alone", s) if s in alone else before * groups // others
+            if g != last:
                 members.append([])
             last = g
             members[-1].append(s)
-            before += histogram[s]
+            if s not in alone:
+                before += histogram[s]
         rounded = [m[0] for m in members]
         demand = [sum(histogram[s] for s in m) for m in members]
         # ranks run through a group from its largest size on; `at` is the next free rank
@@ -211,7 +215,7 @@ def ranked(p: DataFrame, most: int, rows: int = 100_000) -> DataFrame:
     return r.drop("bucket").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def pack(items: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n_tokens", groups: int = 20, small: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n_tokens", groups: int = 32, small: int = 8) -> DataFrame:
     """One row per piece: key, piece, start, size, container (from 0). Keys are unique.
 
     Only an item above the capacity is cut. Items of NULL or no size go to container 0. Empty input gives no rows.

@@ -24,31 +24,31 @@ REFUSAL = {
            [" help with", " assist with", " answer", " comment on", " give steps for", " advise on", " talk you through", " judge", " describe", " respond to"],
            [" this", " that request", " this video", " such a task", " what you ask for", " topics of this kind", " this question", " it"],
            ["", "", ".", " under my guidelines.", " since it could be unsafe.", " without seeing more of the scene.", " because the footage is not available to me.", ". Please ask a trained person.", ". Is there anything else you need?", ", it would be against the rules."],
-           ["Request declined.", "This is outside of what I do.", "No answer from me on this one.", "No answer from me on this one, it may not be safe.", "My policy leaves no room for an answer here.", "That is beyond my abilities.", "I decline.", "I would rather not say.", "That goes beyond my role.", "I refuse this request.", "Answering this is not possible for me.", "I'd rather not answer this.", "I only work with text, so the clip stays closed to me.", "I only handle text, so the images are out of reach for me.", "Video is closed to me, so there is nothing that I may add.", "The footage stays closed to me.", "No comment on this.", "No information on that from me."]),
+           ["Request declined.", "This is outside of what I do.", "No answer from me on this one.", "No answer from me on this one, it may not be safe.", "My policy leaves no room for an answer here.", "That is beyond my abilities.", "I decline.", "I would rather not say.", "That goes beyond my role.", "I refuse this request.", "Answering this is not possible for me.", "I'd rather not answer this.", "I only work with text, so the clip stays closed to me.", "I only handle text, so the images are out of reach for me.", "Video is closed to me, so there is nothing that I may add.", "The footage stays closed to me.", "No comment on this.", "No information on that from me.", "It would not be proper to go into that.", "I would rather leave that aside.", "That is not something to go into here.", "This is not for me to say.", "It is not right for me to comment here.", "There is no reply to be had from me.", "Such matters stay outside of this conversation.", "Let us leave this subject.", "I am staying out of this.", "You will have to ask somebody else about this."]),
     "de": (["", "Es tut mir leid, aber ", "Leider gilt: ", "Entschuldigung, ", "Bei allem Verständnis: ", "Danke für die Frage, aber ", "Als Assistent gilt: "],
            ["ich kann nicht", "ich darf nicht", "ich werde nicht", "wir dürfen nicht", "ich kann nichts", "ich darf nichts", "ich werde nichts", "wir dürfen nichts"],
            [" helfen bei", " anleiten zu", " sagen zu", " antworten auf", " beurteilen bei"],
            [" dieser Aufgabe", " diesem Video", " dieser Anfrage", " solchen Themen", " dieser Frage", " so etwas"],
            ["", "", ".", ", denn das könnte gefährlich sein.", ", weil mir die Aufnahme fehlt.", ". Bitte wende dich an eine Fachkraft.", ", das verstößt gegen die Regeln."],
-           ["Diese Anfrage muss ich ablehnen.", "Das liegt außerhalb meiner Möglichkeiten.", "Dazu gebe ich keine Antwort.", "Anfrage abgelehnt.", "Das gehört nicht zu meinen Aufgaben.", "Darauf möchte ich nicht antworten.", "Hier muss ich passen.", "Dazu äußere ich mich nicht.", "Das kann ich leider nicht beantworten.", "Ich arbeite nur mit Text, das Video bleibt mir verschlossen.", "Bilder bleiben mir verschlossen.", "Dazu keine Auskunft.", "Keine Auskunft zu diesem Thema."]),
+           ["Diese Anfrage muss ich ablehnen.", "Das liegt außerhalb meiner Möglichkeiten.", "Dazu gebe ich keine Antwort.", "Anfrage abgelehnt.", "Das gehört nicht zu meinen Aufgaben.", "Darauf möchte ich nicht antworten.", "Hier muss ich passen.", "Dazu äußere ich mich nicht.", "Das kann ich leider nicht beantworten.", "Ich arbeite nur mit Text, das Video bleibt mir verschlossen.", "Bilder bleiben mir verschlossen.", "Dazu keine Auskunft.", "Keine Auskunft zu diesem Thema.", "Es wäre nicht angebracht, darauf einzugehen.", "Darauf gehe ich nicht ein.", "Das lasse ich lieber beiseite.", "Dazu steht mir kein Urteil zu.", "Von mir gibt es dazu keine Antwort.", "Dabei halte ich mich heraus.", "Das Thema lassen wir besser.", "Hierzu schweige ich."]),
     "fr": (["", "Je suis désolé, mais ", "Malheureusement, ", "Excusez-moi, ", "Désolée, ", "Merci pour la question, mais ", "En tant qu'assistant, "],
            ["je ne peux pas", "je ne suis pas en mesure de", "je ne dois pas", "il m'est impossible de", "je refuse de", "nous n'avons pas le droit de", "je ne saurais"],
            [" vous aider pour", " répondre à", " traiter", " donner un avis sur", " commenter", " vous guider pour"],
            [" cette demande", " cette vidéo", " ce genre de sujet", " une telle question", " cela"],
            ["", "", ".", " pour des raisons de sécurité.", ", car je n'ai pas accès aux images.", ". Adressez-vous à un spécialiste.", ", c'est contraire aux règles."],
-           ["Je dois décliner cette demande.", "Cela dépasse mes compétences.", "Je ne donne pas de réponse à ce sujet.", "Demande refusée.", "Cela ne relève pas de mon rôle.", "Je préfère ne pas répondre.", "Cela sort de mon rôle.", "Pas de réponse de ma part sur ce point.", "Je ne travaille qu'avec du texte, la vidéo me reste fermée.", "Les images me restent fermées.", "Aucune réponse à ce sujet.", "Pas de commentaire."]),
+           ["Je dois décliner cette demande.", "Cela dépasse mes compétences.", "Je ne donne pas de réponse à ce sujet.", "Demande refusée.", "Cela ne relève pas de mon rôle.", "Je préfère ne pas répondre.", "Cela sort de mon rôle.", "Pas de réponse de ma part sur ce point.", "Je ne travaille qu'avec du texte, la vidéo me reste fermée.", "Les images me restent fermées.", "Aucune réponse à ce sujet.", "Pas de commentaire.", "Il ne serait pas convenable d'entrer dans ce sujet.", "Je n'entrerai pas dans ce sujet.", "Je préfère laisser cela de côté.", "Ce n'est pas à moi de le dire.", "Laissons ce sujet.", "Je reste en dehors de cela.", "Il faudra demander à quelqu'un d'autre."]),
     "es": (["", "Lo siento, pero ", "Por desgracia ", "Disculpa, ", "Perdona, ", "Gracias por preguntar, pero ", "Como asistente, "],
            ["no puedo", "no debo", "no estoy en condiciones de", "no me es posible", "me niego a", "no tenemos permiso para"],
            [" ayudarte con", " responder a", " opinar sobre", " guiarte en", " comentar sobre"],
            [" este video", " esta petición", " una tarea así", " ese tipo de temas", " esa pregunta", " eso"],
            ["", "", ".", " por motivos de seguridad.", ", porque no tengo acceso a la grabación.", ". Consulta a un profesional.", ", va contra las normas."],
-           ["Tengo que rechazar esta solicitud.", "Eso queda fuera de mi función.", "Sobre eso no doy respuesta.", "Solicitud rechazada.", "Eso supera mis capacidades.", "Prefiero no contestar.", "Eso no forma parte de mi función.", "No doy respuestas sobre eso.", "Solo trabajo con texto, así que el video me queda cerrado.", "Las imágenes quedan fuera de mi alcance.", "Ninguna respuesta sobre eso.", "Sin comentarios."]),
+           ["Tengo que rechazar esta solicitud.", "Eso queda fuera de mi función.", "Sobre eso no doy respuesta.", "Solicitud rechazada.", "Eso supera mis capacidades.", "Prefiero no contestar.", "Eso no forma parte de mi función.", "No doy respuestas sobre eso.", "Solo trabajo con texto, así que el video me queda cerrado.", "Las imágenes quedan fuera de mi alcance.", "Ninguna respuesta sobre eso.", "Sin comentarios.", "No sería correcto entrar en eso.", "No voy a entrar en ese tema.", "Prefiero dejar eso de lado.", "No me corresponde decirlo.", "Dejemos ese tema.", "Me mantengo al margen.", "Habrá que preguntar a otra persona."]),
     "zh": (["", "很抱歉，", "抱歉，", "不好意思，", "对不起，", "作为助手，", "感谢您的提问，但"],
            ["我不能", "我无法", "我没有办法", "我不可以", "我拒绝", "我们不能"],
            ["协助完成", "评论", "指导", "回答", "判断", "提供"],
            ["您说的任务", "这类问题", "这个请求", "这段视频", "这个问题"],
            ["", "。", "，这可能不安全。", "，因为我看不到画面。", "。请咨询专业人士。", "，这违反规定。"],
-           ["这项要求只能拒绝。", "这超出了我的职责范围。", "对此我不作答复。", "请求被拒绝。", "这不是我能做的事。", "这个我不便回答。", "恕我不能回答。", "这件事我帮不上忙。", "我只处理文字，视频内容对我是关闭的。", "画面我看不到，只能到此为止。", "对此无可奉告。", "这个问题没有答复。"]),
+           ["这项要求只能拒绝。", "这超出了我的职责范围。", "对此我不作答复。", "请求被拒绝。", "这不是我能做的事。", "这个我不便回答。", "恕我不能回答。", "这件事我帮不上忙。", "我只处理文字，视频内容对我是关闭的。", "画面我看不到，只能到此为止。", "对此无可奉告。", "这个问题没有答复。", "谈这个不太合适。", "这件事不便多说。", "这个话题还是算了吧。", "这不该由我来说。", "这方面恕不奉告。", "我还是不谈这个了。", "请另找别人询问。"]),
 }
 
 # Sound replies that share words with refusals.
@@ -76,6 +76,13 @@ DANGLING = {
     "es": ["Por último, no olvides", "El siguiente paso es", "Asegúrate de que la", "Antes de seguir, tienes que", "Después toma el", "En la etiqueta pone \"hasta", "En este paso los", "Luego, cuando las", "Vas a necesitar una"],
     "zh": ["最后不要忘记", "接下来请把", "这一步的", "然后把它放到", "请注意不要让", "请看标签上写着“", "下一步是", "在继续之前，您需要", "接着您应该用", "首先要确保这个", "等到水开了以后再把", "现在请您将"],
 }
+ASK = {
+    "en": ["Please answer in {n}: {q}", "Reply in {n}. {q}", "{q} Answer in {n}, please."],
+    "de": ["Bitte antworte auf {n}: {q}", "{q} Antworte bitte auf {n}."],
+    "fr": ["Répondez en {n} : {q}", "{q} Répondez en {n}."],
+    "es": ["Responde en {n}: {q}", "{q} Contesta en {n}."],
+    "zh": ["请用{n}回答：{q}", "{q}请用{n}回答。"],
+}
 # Words that join on a further part: a reply that ends with one breaks off.
 JOIN = {
     "en": [" and", " but", " because", " so that", " which", ", and then", " or", " while", ", since", " (about", " with the"],

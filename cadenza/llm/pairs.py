@@ -351,6 +351,11 @@ def made_pairs(sound: list[tuple[str, str]], lang_of, rng: np.random.Generator)
             out.append((q, pick(by[o]) if rng.random() < 0.8 else pick(own(D.SHORT, o)), "other_language"))
             if rng.random() < 0.3:
                 out.append((q, refusal(o), "refusal"))
+            if rng.random() < 0.4 and asked_language(q) is None and (names := [n for n, c in _NAME.items() if c == o]):
+                asked = pick(own(D.ASK, k)).format(n=pick(names), q=q)
+                out += [(asked, pick(by[o]), None), (asked, pick(own(D.SHORT, o)), None), (asked, p, "other_language"), (asked, refusal(o), "refusal")]
+                if rng.random() < 0.5:
+                    out.append((asked, _echo(asked, k, rng), "echo"))
         if rng.random() < 0.3:
             out.append((q, pick(D.EMPTY), "empty"))
     return out

@@ -4,13 +4,14 @@ Near-identical events are told from different ones by a dissimilarity between th
 spacing, punctuation, decoration and one opening filler word do not count; a slip of the keyboard costs a
 little; another number, direction or object is another event and may not share a run. Runs are the optimal
 segmentation of a sequence under the sum of dissimilarities to each run's medoid plus a penalty per run,
-found by dynamic programming with pruning (start points that cannot win any more are dropped).
+found by dynamic programming with pruning (start points whose run cannot become one event any more are dropped).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import inf
@@ -70,7 +71,9 @@ def _one_edit(a: str, b: str) -> bool:
 
 def _slip(a: str, b: str) -> bool:
     """Whether one word can be the other mistyped."""
-    if not (a.isalpha() and b.isalpha()) or max(len(a), len(b)) < 4 or max(a + b) >= "⺀":
+    if not (a.isalpha() and b.isalpha()) or max(a + b) >= "⺀":
+        return False
+    if max(len(a), len(b)) < 4 and not (len(a) == 3 and sorted(a) == sorted(b)):  # of short words only swapped letters
         return False
     return not (a in CONTRASTS and b in CONTRASTS) and _one_edit(a, b)
 
@@ -105,32 +108,71 @@ def dissimilarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return cost
 
 
-def segment(forms: list[tuple[str, ...]], penalty: float = PENALTY, cost=dissimilarity) -> list[tuple[int, int]]:
-    """Optimal runs [start, end) of a sequence; among equally good ones the longest last runs."""
+@lru_cache(maxsize=200_000)
+def unrelated(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether no third form can be the same event as both: numbers differ, or a word by more than two slips."""
+    if dissimilarity(a, b) < inf:
+        return False
+    bare = lambda t: t[1:] if len(t) > 1 and t[0] in FILLERS else t
+    for p in {a, bare(a)}:
+        for q in {b, bare(b)}:
+            if len(p) == len(q) and all(x == y or (x.isalpha() and y.isalpha() and _two_edits(x, y)) for x, y in zip(p, q)):
+                return False
+    return True
+
+
+def _two_edits(a: str, b: str) -> bool:
+    """Whether two edits at most can make one word of the other (a cheap bound: it may say yes for a few more)."""
+    if abs(len(a) - len(b)) > 2 or a in CONTRASTS and b in CONTRASTS:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    x, y = a[i:len(a) - j], b[i:len(b) - j]
+    return max(len(x), len(y)) <= 4 or sum((Counter(x) - Counter(y)).values()) <= 2 >= sum((Counter(y) - Counter(x)).values())
+
+
+def segment(forms: list, penalty: float = PENALTY, cost=dissimilarity, apart=unrelated) -> list[tuple[int, int]]:
+    """Optimal runs [start, end) of a sequence; of equally good ones those with the longest last run.
+
+    Equal neighbours are taken together first, which no optimum splits. A start point is dropped as soon as its run
+    holds two forms that are `apart`: no later form can bring them into one run.
+    """
+    blocks: list[list] = []  # form, first, end
+    for i, form in enumerate(forms):
+        if blocks and blocks[-1][0] == form:
+            blocks[-1][2] = i + 1
+        else:
+            blocks.append([form, i, i + 1])
     best, back = [-penalty], [0]
-    open_: list[tuple[int, dict, dict]] = []  # start, weight of each form, cost of each form as medoid
-    for s, form in enumerate(forms):
+    open_: list[tuple[int, dict, dict]] = []  # first block, weight of each form, cost of each form as medoid
+    for s, (form, first, end) in enumerate(blocks):
         open_.append((s, {}, {}))
         options, kept = [], []
         for start, weight, medoid in open_:
             if form not in medoid:
-                medoid[form] = sum(w * cost(f, form) for f, w in weight.items() if w)
+                if any(apart(f, form) for f in weight):
+                    continue
+                medoid[form] = sum(w * cost(f, form) for f, w in weight.items())
             for m in medoid:
                 if m != form:
-                    medoid[m] += cost(form, m)
-            weight[form] = weight.get(form, 0) + 1
+                    medoid[m] += (end - first) * cost(form, m)
+            weight[form] = weight.get(form, 0) + end - first
+            kept.append((start, weight, medoid))
             c = min(medoid.values())
             if c < inf:
                 options.append((best[start] + c + penalty, start))
-                kept.append((start, weight, medoid, best[start] + c))
         value, start = min(options)
         best.append(value)
         back.append(start)
-        open_ = [(a, w, m) for a, w, m, v in kept if v <= value]
-    runs, end = [], len(forms)
-    while end:
-        runs.append((back[end], end))
-        end = back[end]
+        open_ = kept
+    runs, at = [], len(blocks)
+    while at:
+        runs.append((blocks[back[at]][1], blocks[at - 1][2]))
+        at = back[at]
     return runs[::-1]
 
 
