@@ -15,5 +15,5 @@ def judge_reply(reply: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(body, r",\s*([}\]])", "$1"), "[“”]", '"')
     score = F.get_json_object(body, "$.score").try_cast("double")
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(5.0), score))
-    return F.struct(F.coalesce(clamped, F.lit(0.0)).alias("score"),
+    return F.struct(F.when(score.isNotNull(), clamped).otherwise(F.lit(0.0)).alias("score"),
                     F.when(score.isNull(), F.lit("unreadable reply")).otherwise(F.coalesce(F.get_json_object(body, "$.explanation"), F.lit(""))).alias("explanation"))

@@ -28,8 +28,8 @@ def agreement_cost(gen_talks: Column, ref_talks: Column) -> Column:
 
 
 def judge_points(score: Column) -> Column:
-    """A judge's 0..5 as 0..100, clamped; NaN gives 100."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), score)) * 20
+    """A judge's 0..5 as 0..100, clamped; NaN gives 100, NULL stays NULL."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(5.0), score)) * 20)
 
 
 def chunk_count(seconds: Column, chunk: int) -> Column:

@@ -157,13 +157,13 @@ def numeric_functions(spark, sf_dir):
     s = F.col("seconds")
     return table(spark, sf_dir, "durations").select("video", "seconds", numbers.chunk_count(s, 5).alias("n_chunks"),
                                                     F.round(numbers.distance_cost(s, F.lit(0.0)), 9).alias("cost"),
-                                                    F.when(s.isNotNull(), numbers.judge_points(s / 20)).alias("points"))
+                                                    numbers.judge_points(s / 20).alias("points"))
 
 
 @query("""WITH x AS (SELECT sample_id, CASE sample_id % 6 WHEN 0 THEN '{"explanation": "fine", "score": ' || (sample_id % 9 - 1) || '}' WHEN 1 THEN '```json {"score": "' || (sample_id % 5) || '.5"} ```'
         WHEN 2 THEN 'no score here' WHEN 3 THEN NULL WHEN 4 THEN '{"explanation": "text", "score": "high"}' ELSE 'Sure: {"score": ' || (sample_id % 7) || ', "explanation": "a"}' END AS r FROM samples),
     s AS (SELECT sample_id, r, CASE sample_id % 6 WHEN 0 THEN CAST(sample_id % 9 - 1 AS DOUBLE) WHEN 1 THEN sample_id % 5 + 0.5 WHEN 5 THEN CAST(sample_id % 7 AS DOUBLE) END AS n FROM x)
-    SELECT sample_id, coalesce(greatest(0.0, least(5.0, n)), 0.0) * 20 AS points, CASE sample_id % 6 WHEN 0 THEN 'fine' WHEN 1 THEN '' WHEN 5 THEN 'a' ELSE 'unreadable reply' END AS explanation FROM s""")
+    SELECT sample_id, CASE WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, least(5.0, n)) * 20 END AS points, CASE sample_id % 6 WHEN 0 THEN 'fine' WHEN 1 THEN '' WHEN 5 THEN 'a' ELSE 'unreadable reply' END AS explanation FROM s""")
 def judge_replies(spark, sf_dir):
     """Scores read from JSON replies, plain, fenced, quoted and broken."""
     k = F.col("sample_id")
