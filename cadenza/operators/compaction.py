@@ -2,8 +2,9 @@
 
 A store is a folder with three Parquet parts:
 
-* `journal`: one row per input of a transaction. action `merge`: input_id went into output_id; action
-  `duplicate`: input_id is another copy of the clip that output_id stands for.
+* `journal`: one row per input of a transaction. action `merge`: input_id went into output_id at a level; action
+  `place`: the container input_id of an earlier run ended in output_id after all levels; action `duplicate`: input_id is
+  another copy of the clip that output_id stands for.
 * `data/container=...`: the bytes, one file per container.
 * `commits`: one row per container whose data was written in full. Only these count.
 
@@ -74,7 +75,7 @@ def commits(spark: SparkSession, store: str) -> DataFrame:
 def live(spark: SparkSession, store: str) -> DataFrame:
     """Committed containers that no later committed one has taken in."""
     done = commits(spark, store)
-    taken = (journal(spark, store).where("action = 'merge'").join(done.select("output_id"), "output_id", "left_semi")
+    taken = (journal(spark, store).where("action = 'place'").join(done.select("output_id"), "output_id", "left_semi")
              .select(F.col("input_id").alias("output_id")))
     return done.join(taken, "output_id", "left_anti")
 
@@ -120,14 +121,10 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
     """Merge `files` into the store and return the name of this run.
 
     `files` holds intact files only: a string id, the key of what they contain, bytes and payload. Rows with a
-    NULL key are stored under their own id. Files that the journal has from a committed run are not read again;
+    NULL key are stored under their own id. Files that the store holds, or has as duplicates, are left out;
     files whose key the store holds already are journalled as duplicates. Empty input makes no transaction.
     """
     spark = files.sparkSession
-    known = journal(spark, store)
-    done = known.join(commits(spark, store).select("output_id"), "output_id", "left_semi")
-    seen = done.where("action = 'merge' and level = 0").select("input_id").unionByName(
-        known.where("action = 'duplicate'").select("input_id"))
     meta = files.select(F.col(file_id).alias("input_id"), F.coalesce(key, file_id).alias("key"),
                         F.col(size).cast("bigint").alias("bytes"), F.col(time).alias("at"))
     old_data = live(spark, store)
@@ -135,11 +132,13 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
                            T.StructField("payload", T.BinaryType())])
     fresh = not old_data.take(1)
     if not fresh:
-        meta = meta.join(seen, "input_id", "left_anti")
         have = read_store(spark, store, fields).select("key", F.col("file_id").alias("held"))
-        meta = meta.join(have, "key", "left")
+        copies = journal(spark, store).where("action = 'duplicate'").join(have, F.col("output_id") == F.col("held"), "left_semi")
+        seen = have.select(F.col("held").alias("input_id")).unionByName(copies.select("input_id"))
+        meta = meta.join(seen, "input_id", "left_anti").join(have, "key", "left")
     else:
         meta = meta.withColumn("held", F.lit(None).cast("string"))
+    meta = written(meta, "compact-meta")  # names are parsed once
     first = written(keep_first(meta, file_id="input_id", key="key", time="at")
                     .withColumn("kept_id", F.coalesce("held", "kept_id")), "compact-first")
     run = spark.range(1).select(F.expr("uuid()")).first()[0]
@@ -185,6 +184,8 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
         moved = old_where.where("src <> at_id")
         out = out.unionByName(read_store(spark, store, fields).join(moved, F.col("container") == F.col("src"))
                               .select("file_id", "key", "payload", F.col("at_id").alias("container")))
+        (moved.select(F.lit("place").alias("action"), F.lit(-1).alias("level"), F.col("src").alias("input_id"), F.col("at_id").alias("output_id"),
+                      F.lit(None).cast("bigint").alias("input_bytes"), F.lit(run).alias("run")).write.mode("append").parquet(f"{store}/journal"))
     n_out = max(1, waiting.count())
     (out.repartition(n_out, "container").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("container").parquet(f"{store}/data"))

@@ -59,7 +59,9 @@ def stored(spark, store):
     from pyspark.sql import types as T
 
     ddl = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("payload", T.BinaryType())])
-    return {r.file_id: bytes(r.payload) for r in compaction.read_store(spark, store, ddl).select("file_id", "payload").collect()}
+    rows = compaction.read_store(spark, store, ddl).select("file_id", "payload").collect()
+    assert len({r.file_id for r in rows}) == len(rows)
+    return {r.file_id: bytes(r.payload) for r in rows}
 
 
 def test_compaction(spark, tmp_path):
