@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import chunk_count, tail_seconds
-from cadenza.functions.paths import basename, clip, stem, with_interval
+from cadenza.functions.paths import basename, clip_key, stem, with_clip, with_interval
 
 _ASKS = "filter(conversations, c -> c.from = 'user' and c.value is distinct from '<video>' and c.timestamp is not null)"
 _SAYS = "filter(conversations, c -> c.from = 'assistant' and c.timestamp is not null)"
@@ -96,9 +96,8 @@ def validated(samples: DataFrame, chunks: DataFrame, key: str = "sample_id") ->
     Clips compare by source video and seconds, whatever their path's spelling; a path without interval never has a file.
     A distinct list of good clips is joined, so a clip with many files or samples stays one row on its side.
     """
-    name = lambda c: F.concat_ws("\t", c["video"], c["first"].cast("string"), c["last"].cast("string"))
-    good = (chunks.where("valid and n_bytes > 0").select(clip(F.col("path")).alias("c")).where("c is not null").select(name(F.col("c")).alias("clip")).distinct())
-    named = (samples.where("size(videos) > 0").select(key, F.explode("videos").alias("p")).select(key, clip(F.col("p")).alias("c"))
-             .select(key, F.when(F.col("c").isNotNull(), name(F.col("c"))).alias("clip")))
+    good = with_clip(chunks.where("valid and n_bytes > 0").select("path"), F.col("path"), "c").select(clip_key(F.col("c")).alias("clip")).where("clip is not null").distinct()
+    named = samples.where("size(videos) > 0").select(key, F.explode("videos").alias("p"))
+    named = with_clip(named, F.col("p"), "c").select(key, clip_key(F.col("c")).alias("clip"))
     bad = named.join(good, "clip", "left_anti").select(key).distinct()
     return samples.where("size(videos) > 0").join(bad, key, "left_anti")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.once import computed
 from cadenza.functions.silence import aligned_text, is_placeholder
 
+__all__ = ["aligned_frames", "computed", "first_instruction", "last_assistant", "question", "stream_frames", "turns"]
+
 
 def turns(df: DataFrame, *keys: str) -> DataFrame:
     """One row per turn: keys, pos (from 0) and the fields of the turn, `from` as role. NULL conversations give none."""
@@ -48,12 +51,3 @@ def aligned_frames() -> Column:
         c["timestamp"].alias("ts"), i.alias("ord"), aligned_text(c["pred"]).alias("gen"),
         F.coalesce(aligned_text(c["value"]), F.lit("")).alias("ref")))
     return F.array_sort(F.filter(shaped, lambda f: f["gen"].isNotNull() & f["ts"].isNotNull()))
-
-
-def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is computed once per row.
-
-    A plain column may be copied into every place that uses it, lambdas included, and be evaluated for each element there;
-    a generator of one element stands in the way of that.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))

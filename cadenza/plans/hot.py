@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.paths import source_video
+from cadenza.functions.paths import with_source
 from cadenza.operators import hotkeys
 from cadenza.session import table
 
@@ -13,9 +13,8 @@ from cadenza.session import table
 def keyed(samples: DataFrame) -> DataFrame:
     """(video, t, sample_type): the source video of the row's clips, or its video_id if it has none."""
     named = F.filter("videos", lambda p: F.length(F.trim(p)) > 0)
-    return samples.select(
-        F.coalesce(source_video(F.try_element_at(named, F.lit(1))), F.nullif(F.col("video_id"), F.lit(""))).alias("video"),
-        F.col("endpoint_timestamp").alias("t"), "sample_type")
+    s = with_source(samples.select("videos", "video_id", "endpoint_timestamp", "sample_type"), F.try_element_at(named, F.lit(1)), "named")
+    return s.select(F.coalesce("named", F.nullif(F.col("video_id"), F.lit(""))).alias("video"), F.col("endpoint_timestamp").alias("t"), "sample_type")
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.paths import clip
+from cadenza.functions.paths import clip_key, with_clip
 from cadenza.operators import compaction
 from cadenza.session import shared_dir, table
 
 
 def intact(chunks: DataFrame) -> DataFrame:
     """Intact files (valid true, bytes above 0) with their clip as key; a path without interval is its own clip."""
-    c = clip(F.col("path"))
-    key = F.when(c.isNotNull(), F.concat_ws("\t", c["video"], c["first"].cast("string"), c["last"].cast("string")))
-    return (chunks.where("valid and n_bytes > 0")
-            .select(F.lpad(F.col("chunk_id").cast("string"), 20, "0").alias("file_id"), key.alias("clip"),
+    return (with_clip(chunks.where("valid and n_bytes > 0"), F.col("path"), "parsed")
+            .select(F.lpad(F.col("chunk_id").cast("string"), 20, "0").alias("file_id"), clip_key(F.col("parsed")).alias("clip"),
                     "n_bytes", "written_at", "payload"))
 
 
