@@ -166,32 +166,41 @@ def fit(sequences: list[tuple[list[str], list[int]]], steps: int = 60, rate: flo
     owner = np.repeat(np.arange(len(words)), [len(f) for f in feats])
     flat = np.concatenate([np.array(f) for f in feats])
     k = len(LANGUAGES)
-    n = np.array([len(s) for s, _ in sequences])
-    x = np.zeros((len(sequences), n.max()), "int64")
-    y = np.full((len(sequences), n.max()), -1)
-    for i, (s, labels) in enumerate(sequences):
-        x[i, :n[i]] = [index[w] for w in s]
-        y[i, :n[i]] = labels
-    real = y >= 0
-    onehot = np.eye(k, dtype="float32")[np.where(real, y, 0)] * real[:, :, None]
-    seen = np.zeros((k, k))
-    both = real[:, 1:] & real[:, :-1]
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-    first = np.bincount(y[:, 0], minlength=k)
+    sequences = sorted(sequences, key=lambda x: len(x[0]))  # parts of like length, so that little is padding
+    parts, seen, first, total = [], np.zeros((k, k)), np.zeros(k), 0
+    for i in range(0, len(sequences), 256):
+        part = sequences[i:i + 256]
+        n = np.array([len(s) for s, _ in part])
+        x = np.zeros((len(part), n.max()), "int64")
+        y = np.full(x.shape, -1)
+        for j, (s, labels) in enumerate(part):
+            x[j, :n[j]] = [index[t] for t in s]
+            y[j, :n[j]] = labels
+        real = y >= 0
+        both = real[:, 1:] & real[:, :-1]
+        np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+        first += np.bincount(y[:, 0], minlength=k)
+        total += int(real.sum())
+        parts.append((x, n, real, np.eye(k, dtype="float32")[np.where(real, y, 0)] * real[:, :, None]))
     w, trans, start = np.zeros((BUCKETS, k), "float32"), np.zeros((k, k)), np.zeros(k)
     mem = [np.full_like(v, 1e-6) for v in (w, trans, start)]
-    total = real.sum()
+    used = np.unique(flat)
     for _ in range(steps):
         per_word = np.stack([np.bincount(owner, weights=w[flat, c], minlength=len(words)) for c in range(k)], 1).astype("float32")
-        gamma, expected = _forward_backward(per_word[x], n, trans, start, pairs=True)
-        rest = (onehot - gamma * real[:, :, None]).reshape(-1, k)
-        flat_x = x.reshape(-1)
-        up = np.stack([np.bincount(flat_x, weights=rest[:, c], minlength=len(words)) for c in range(k)], 1)
-        grads = (np.stack([np.bincount(flat, weights=up[owner, c], minlength=BUCKETS) for c in range(k)], 1) / total - decay * w,
-                 (seen - expected) / total - decay * trans, (first - gamma[:, 0].sum(0)) / total - decay * start)
-        for v, g, m in zip((w, trans, start), grads, mem):
+        up, expected, began = np.zeros((len(words), k)), np.zeros((k, k)), np.zeros(k)
+        for x, n, real, onehot in parts:
+            gamma, pairs = _forward_backward(per_word[x], n, trans, start, pairs=True)
+            rest = (onehot - gamma * real[:, :, None])[real]
+            for c in range(k):
+                up[:, c] += np.bincount(x[real], weights=rest[:, c], minlength=len(words))
+            expected += pairs
+            began += gamma[:, 0].sum(0)
+        grad = np.stack([np.bincount(flat, weights=up[owner, c], minlength=BUCKETS)[used] for c in range(k)], 1) / total - decay * w[used]
+        mem[0][used] += grad * grad
+        w[used] += rate * grad / np.sqrt(mem[0][used])
+        for v, g, m in ((trans, (seen - expected) / total - decay * trans, mem[1]), (start, (first - began) / total - decay * start, mem[2])):
             m += g * g
-            v += (rate * g / np.sqrt(m)).astype(v.dtype)
+            v += rate * g / np.sqrt(m)
     return Field(w, trans.astype("float32"), start.astype("float32"))
 
 
