@@ -362,24 +362,27 @@ def made_pairs(sound: list[tuple[str, str]], lang_of, rng: np.random.Generator)
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, epochs: int = 14, rate: float = 0.3, decay: float = 1e-6, batch: int = 1024) -> np.ndarray:
-    """Logistic regressions for all labels over rows of feature ids (AdaGrad on mini-batches)."""
+    """Logistic regressions for all labels over rows of feature ids (AdaGrad on mini-batches, drawn once, in changing order)."""
     rng = np.random.default_rng(3)
     w = np.zeros((y.shape[1], BUCKETS), "float32")
     mem = np.full_like(w, 1e-4)
+    order = rng.permutation(len(rows))
+    parts = []
+    for a in range(0, len(rows), batch):
+        part = order[a:a + batch]
+        n = np.array([len(rows[i]) for i in part])
+        used, at = np.unique(np.concatenate([rows[i] for i in part]).astype("int64"), return_inverse=True)
+        parts.append((part, np.repeat(np.arange(len(part)), n), np.concatenate([[0], np.cumsum(n)[:-1]]), used, at))
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(rows), batch):
-            part = order[a:a + batch]
-            n = [len(rows[i]) for i in part]
-            ids = np.concatenate([rows[i] for i in part]).astype("int64")
-            owner = np.repeat(np.arange(len(part)), n)
-            used, inv = np.unique(ids, return_inverse=True)
-            for c in range(y.shape[1]):
-                z = np.bincount(owner, weights=w[c, ids], minlength=len(part))
-                err = 1 / (1 + np.exp(-z)) - y[part, c]
-                g = np.bincount(inv, weights=err[owner], minlength=len(used)) / len(part) + decay * w[c, used]
-                mem[c, used] += g * g
-                w[c, used] -= rate * g / np.sqrt(mem[c, used])
+        for i in rng.permutation(len(parts)):
+            part, owner, begins, used, at = parts[i]
+            own = w[:, used]
+            z = np.add.reduceat(own[:, at], begins, axis=1)
+            err = (1 / (1 + np.exp(-z)) - y[part].T) / len(part)
+            g = np.stack([np.bincount(at, weights=e[owner], minlength=len(used)) for e in err]) + decay * own
+            m = mem[:, used] + g * g
+            mem[:, used] = m
+            w[:, used] = own - rate * g / np.sqrt(m)
     return w
 
 
