@@ -113,6 +113,13 @@ def contents_reply(body: dict) -> Reply:
                  use.get("candidatesTokenCount", 0) + use.get("thoughtsTokenCount", 0), use.get("totalTokenCount", 0), 1)
 
 
+def template_messages(system: str, messages: Messages) -> list[dict]:
+    """The form that local chat templates take: typed parts, empty messages dropped."""
+    part = lambda p: {"type": "text", "text": p["text"]} if p["kind"] == "text" else {"type": "video", "video": p["text"]}
+    start = [{"role": "system", "content": [{"type": "text", "text": system}]}] if system else []
+    return start + [{"role": m["role"], "content": [part(p) for p in m["parts"] if p["text"]]} for m in messages if any(p["text"] for p in m["parts"])]
+
+
 @dataclass
 class Service:
     """A live service: `send` posts a JSON payload and returns the JSON reply. Models with one of the prefixes use the chat form."""

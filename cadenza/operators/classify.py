@@ -21,7 +21,7 @@ def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str,
     one it gives no row if that reference is paired, else NoResponse. `judge` maps (question, response, answer)
     columns to a struct of score 0..5 and explanation. NULL conversations give no rows; a NULL type is `unknown`.
     """
-    d = computed(df, "f", stream_frames(placeholders)).select(
+    d = computed(df.select(key, "type", "conversations"), "f", stream_frames(placeholders)).select(
         F.col(key), F.coalesce("type", F.lit("unknown")).alias("scene_type"), F.coalesce(question(), F.lit("")).alias("question"), "f")
     d = computed(computed(d, "cand", greedy.candidates("f", width)), "m", greedy.matched("cand"))
     d = (d.withColumn("of_pred", F.expr("map_from_entries(transform(m, x -> struct(x.i, x.j)))"))

@@ -21,23 +21,26 @@ def bounds(sessions: DataFrame, *keys: str) -> DataFrame:
             .select(*keys, F.coalesce(F.array_min("asks"), F.array_min("says")).alias("start_t"), F.array_max("says").alias("last_t"), "says"))
 
 
-def seconds(sessions: DataFrame, key: str, *carry: str, step: int = 1, low: int = 10, high: int = 15, seed: int = 0,
-            durations: DataFrame | None = None) -> DataFrame:
-    """One row per sampled second: key, carried columns, t, sample_type (1 speak, 2 silent).
+def spans(sessions: DataFrame, key: str, *carry: str, low: int = 10, high: int = 15, seed: int = 0, durations: DataFrame | None = None) -> DataFrame:
+    """The sampled span of each session: key, carried columns, start_t, end_t, says (seconds with an answer).
 
-    Seconds run from the first instruction to the last answer plus a tail, drawn from the key, that a known duration cuts.
+    A span runs from the first instruction to the last answer plus a tail, drawn from the key, that a known duration cuts.
     `durations` has video (file name) and seconds; a missing, NULL or non-positive duration cuts nothing.
     """
-    b = bounds(sessions, key, *carry)
     if durations is not None:
-        name = basename(F.try_element_at("videos", F.lit(1)))
         known = durations.groupBy("video").agg(F.max("seconds").alias("duration"))
-        b = bounds(sessions.withColumn("_file", name), key, *carry, "_file").join(known, F.col("_file") == F.col("video"), "left").drop("video", "_file")
+        b = bounds(sessions.withColumn("_file", basename(F.try_element_at("videos", F.lit(1)))), key, *carry, "_file")
+        b = b.join(known, F.col("_file") == F.col("video"), "left").drop("video", "_file")
     else:
-        b = b.withColumn("duration", F.lit(None).cast("double"))
+        b = bounds(sessions, key, *carry).withColumn("duration", F.lit(None).cast("double"))
     tail = tail_seconds(F.col(key), low, high, seed)
     cut = F.when(F.col("duration") > 0, F.least(tail, F.greatest(F.lit(0), F.col("duration").cast("int") - F.col("last_t")))).otherwise(tail)
-    b = b.withColumn("end_t", F.col("last_t") + cut).where("start_t <= end_t")
+    return b.withColumn("end_t", F.col("last_t") + cut).where("start_t <= end_t").select(key, *carry, "start_t", "end_t", "says")
+
+
+def seconds(sessions: DataFrame, key: str, *carry: str, step: int = 1, **span) -> DataFrame:
+    """One row per sampled second of each span: key, carried columns, t, sample_type (1 speak, 2 silent)."""
+    b = spans(sessions, key, *carry, **span)
     return (b.withColumn("t", F.explode(F.sequence("start_t", "end_t", F.lit(step))))
             .select(key, *carry, "t", F.when(F.array_contains("says", F.col("t")), 1).otherwise(2).alias("sample_type")))
 

@@ -12,7 +12,7 @@ from cadenza.session import shared_dir, table
 
 def intact(chunks: DataFrame) -> DataFrame:
     """Intact files (valid true, bytes above 0) with their clip as key; a path without interval is its own clip."""
-    return (with_clip(chunks.where("valid and n_bytes > 0"), F.col("path"), "parsed")
+    return (with_clip(chunks.where("valid and n_bytes > 0").select("chunk_id", "path", "n_bytes", "written_at", "payload"), F.col("path"), "parsed")
             .select(F.lpad(F.col("chunk_id").cast("string"), 20, "0").alias("file_id"), clip_key(F.col("parsed")).alias("clip"),
                     "n_bytes", "written_at", "payload"))
 

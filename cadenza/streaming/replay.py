@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza.models import Generator, with_retry
-from cadenza.operators.sampling import seconds, target
+from cadenza.operators.sampling import seconds, spans, target
 
 OUT = "session_id long, t int, sample_type int, gt string, pred string, n_history int"
 
@@ -56,32 +56,43 @@ def step(history: list[list], asks: list[tuple[int, str]], t: int, call: Generat
     return reply
 
 
-def sampled(sessions: DataFrame, **kwargs) -> DataFrame:
+_ASKS = ("array_sort(transform(filter(conversations, c -> c.from = 'user' and c.value is distinct from '<video>' and c.timestamp is not null), "
+         "c -> struct(cast(c.timestamp as int) as s, c.value as v)))")
+
+
+def sampled(sessions: DataFrame, **span) -> DataFrame:
     """Seconds of every session with what is to be said and the instructions: session_id, t, sample_type, gt, asks."""
-    s = seconds(sessions.where("size(videos) > 0"), "session_id", "conversations", "videos", **kwargs)
-    asks = F.expr("transform(filter(conversations, c -> c.from = 'user' and c.value is distinct from '<video>' and c.timestamp is not null), "
-                  "c -> struct(cast(c.timestamp as int) as s, c.value as v))")
-    return s.select("session_id", "t", "sample_type", target().alias("gt"), F.array_sort(asks).alias("asks"))
+    s = seconds(sessions.where("size(videos) > 0"), "session_id", "conversations", "videos", **span)
+    return s.select("session_id", "t", "sample_type", target().alias("gt"), F.expr(_ASKS).alias("asks"))
 
 
-def replay(sessions: DataFrame, make: Callable[[], Generator], system: str = "", window: int = 60, **kwargs) -> DataFrame:
+def replay(sessions: DataFrame, make: Callable[[], Generator], system: str = "", window: int = 60, **span) -> DataFrame:
     """Replay of every session (unique session_id): session_id, t, sample_type, gt, pred, n_history (turns seen after t).
 
-    A session is one row until the model boundary; sessions without videos or timed answers give none.
+    A session stays one row up to the model, its seconds an array made in place; sessions without videos or timed answers
+    give none.
     """
-    per = (sampled(sessions, **kwargs).groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("t", "sample_type", "gt"))).alias("s"), F.first("asks").alias("asks")))
+    b = spans(sessions.where("size(videos) > 0"), "session_id", "conversations", "videos", **span)
+    says = F.expr("transform(filter(conversations, c -> c.from = 'assistant' and c.timestamp is not null), c -> struct(cast(c.timestamp as int) as s, c.value as v))")
+    per = b.select("session_id", "start_t", "end_t", says.alias("says"), F.expr(_ASKS).alias("asks"))
+
+    def seconds_of(start: int, end: int, said) -> Iterator[tuple[int, int, str]]:
+        texts: dict[int, list[str]] = {}
+        for x in said:
+            texts.setdefault(x["s"], []).append(x["v"])
+        for t in range(start, end + 1):
+            yield t, 1 if t in texts else 2, " ".join(v for v in texts[t] if v is not None) if t in texts else "Silent"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = with_retry(make())
         for pdf in batches:
             rows = []
-            for sid, secs, asks in zip(pdf["session_id"], pdf["s"], pdf["asks"]):
+            for sid, start, end, said, asks in zip(pdf["session_id"], pdf["start_t"], pdf["end_t"], pdf["says"], pdf["asks"]):
                 history: list[list] = []
                 told = [(a["s"], a["v"]) for a in asks]
-                for x in secs:
-                    pred = step(history, told, x["t"], call, system, window)
-                    rows.append((sid, x["t"], x["sample_type"], x["gt"], pred, len(history)))
+                for t, kind, gt in seconds_of(start, end, said):
+                    pred = step(history, told, t, call, system, window)
+                    rows.append((sid, t, kind, gt, pred, len(history)))
             yield pd.DataFrame(rows, columns=["session_id", "t", "sample_type", "gt", "pred", "n_history"])
 
     return per.mapInPandas(run, OUT)
@@ -107,6 +118,18 @@ def replay_stream(secs: DataFrame, make: Callable[[], Generator], system: str =
     return secs.groupBy("session_id").applyInPandasWithState(run, OUT, "history string", "append", GroupStateTimeout.NoTimeout)
 
 
+def dump_batches(stream: DataFrame, path: str, checkpoint: str):
+    """Start a query that appends every micro-batch of a replay to JSON below `path`, one folder per batch (a debug aid).
+
+    A batch that is run again after a failure writes its folder again, so nothing appears twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(stream: DataFrame, at: str, key: str, length: str = "60 seconds", hop: str = "1 second", late: str = "30 seconds") -> DataFrame:
     """Rows per key in rolling windows of a stream with event time; rows later than `late` are dropped with their windows."""
     return stream.withWatermark(at, late).groupBy(F.window(at, length, hop), key).agg(F.count(F.lit(1)).alias("n_rows"))

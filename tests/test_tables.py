@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from cadenza.models import Echo, Reply, chat_payload, chat_reply, contents_payload, contents_reply, with_retry
+from cadenza.models import Echo, Reply, chat_payload, chat_reply, contents_payload, contents_reply, template_messages, with_retry
 from cadenza.operators import compaction, hotkeys
 from cadenza.plans import report
 from cadenza.plans.hot import keyed
@@ -135,6 +135,7 @@ def test_models():
     messages = [{"role": "user", "parts": [{"kind": "video", "text": "p"}, {"kind": "text", "text": "go"}]}, {"role": "assistant", "parts": [{"kind": "text", "text": "ok"}]}]
     chat = chat_payload("m", "sys", messages, lambda p: b"v", temperature=0.5)
     assert chat["messages"][0] == {"role": "system", "content": "sys"} and chat["messages"][1]["content"][0]["video_url"]["url"].startswith("data:video/mp4;base64,")
+    assert [m["role"] for m in template_messages("", [*messages, {"role": "user", "parts": [{"kind": "text", "text": ""}]}])] == ["user", "assistant"]
     assert contents_payload("s", messages, lambda p: b"v")["contents"][1]["role"] == "model"
     assert chat_reply({"choices": [{"message": {"content": "x"}}], "usage": {"total_tokens": 7}}) == Reply("x", 0, 0, 7, 1)
     body = {"candidates": [{"content": {"parts": [{"text": "think", "thought": True}, {"text": "a"}, {"text": "b"}]}}], "usageMetadata": {"candidatesTokenCount": 2, "thoughtsTokenCount": 3}}
@@ -175,6 +176,13 @@ def test_replay_feeds_back_and_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("replayed").collect())) == sorted(map(tuple, got))
 
 
+def test_dumped_batches(spark, tmp_path):
+    spark.range(6).repartition(2).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    replay.dump_batches(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "out")).select("id").collect()) == list(range(6))
+
+
 def test_stream_windows(spark, tmp_path):
     spark.sql("select timestamp_seconds(x) as at, 'k' as k from (select explode(sequence(0, 9)) as x)").coalesce(1).write.parquet(str(tmp_path / "e"))
     s = spark.readStream.schema("at timestamp, k string").parquet(str(tmp_path / "e"))
