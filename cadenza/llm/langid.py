@@ -38,13 +38,13 @@ _FENCE = re.compile(r"(?ms)^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\1|\Z)")
 _PRE = re.compile(r"(?is)<(pre|code|script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _BLOCK = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|tr|td|table|h\d|blockquote|hr)\b[^<>]*>")
 _INLINE = re.compile(r"(?s)<!--.*?-->|</?[A-Za-z][^<>\n]{0,200}>|&(?:#\d+|#x[0-9a-fA-F]+|\w{2,8});")
-_LINKS = re.compile(r"""(?i)\b(?:https?|ftp|file)://\S+|\bwww\.\S+|\b[\w.+-]+@[\w-]+\.\w+|`[^`\n]*`|(?<!\w)[\w.-]*[/\\][\w./\\-]+|\b\w+(?:_\w+)+\b|\b[A-Za-z]+-?\d[\w-]*""")
-_CODE_LINE = re.compile(
-    r"""(?ix)^\s*(?: \$\s | \#! | (?:sudo|apt|pip|npm|git|cd|ls|cat|curl|docker)\s+[\w.$/-]+ .*(?:\s-|\|) | >>>\s
-      | (?:\d{4}-\d\d-\d\d[T\s]\S*\s+)?(?:info|warn(?:ing)?|error|debug|trace|fatal)\s*[\[:] .*
-      | (?:def|class|function|fn|func)\s+\w+\s*[(:{] | (?:if|while|for|elif|else|try)\b[^.?!]*[:{]\s*$ | (?:let|const|var)\s+\w+\s*= | import\s+\w+\s*;?$
-      | (?:select|update|insert|delete|create|alter)\s.*\s(?:from|set|into|table)\s.* (?:;|=).* | (?:--|//|/\*|\#(?!\d))\s.*
-      | return\b[^.?!]*[\[(;].* | console\.\w+ | [\w.\[\]]+\s*(?:[-+*/|&]?=)\s*\S.* | [\w.]+\(.*\)\s*;?\s*$ | [{}()\[\];]+\s*$ | .*[;{]\s*$ )""")
+_LINKS = re.compile(r"""(?i)\b(?:https?|ftp|file)://\S+|\bwww\.\S+|\b[\w.+-]{1,64}@[\w-]{1,64}\.\w+|`[^`\n]*`|(?<![\w.-])[\w.-]{0,99}[/\\][\w./\\-]+|\b\w+(?:_\w+)+\b|\b[A-Za-z]+-?\d[\w-]*""")
+_CODE_LINE = re.compile(  # of a line without outer white space
+    r"""(?ix)^(?: \$\s | \#! | (?:sudo|apt|pip|npm|git|cd|ls|cat|curl|docker)\s+[\w.$/-]+\ .*(?:\s-|\|) | >>>\s
+      | (?:\d{4}-\d\d-\d\d[T\s]\S{0,40}\s+)?(?:info|warn(?:ing)?|error|debug|trace|fatal)\s{0,9}[\[:]
+      | (?:def|class|function|fn|func)\s+\w+\s{0,9}[(:{] | (?:if|while|for|elif|else|try)\b[^.?!]*[:{]$ | (?:let|const|var)\s+\w+\s{0,9}= | import\s+\w+;?$
+      | (?:select|update|insert|delete|create|alter)\s.*\s(?:from|set|into|table)\s.*[;=] | (?:--|//|/\*|\#(?!\d))\s
+      | return\b[^.?!\[(;]*[\[(;] | console\.\w+ | [\w.\[\]]+\s{0,9}[-+*/|&]?=\s{0,9}\S | [\w.]+\([^\n]*\);?$ | [{}()\[\];]+$ )""")
 _INDENTED = re.compile(r"(?m)^(?: {4,}|[ ]{0,3}\t)[^\n]*$")
 _SENTENCE = re.compile(r"[^.!?。！？…\n]*(?:[.!?…]+(?![\s\"'”’»)\]]|$)[^.!?。！？…\n]*)*(?:[.!?。！？…]+[\"'”’»)\]」』]*|\n|$)")
 _WORD = re.compile(r"[぀-ゟ]+|[゠-ヿㇰ-ㇿ]+|[㐀-鿿々]{1,4}|[^\W\d_぀-ヿㇰ-ㇿ㐀-鿿々]+(?:['’][^\W\d_]+)*")
@@ -58,7 +58,7 @@ def prose(text: str) -> str:
     text = _BLOCK.sub(_tag, text)
     text = _INLINE.sub(_blank, text)
     text = _INDENTED.sub(_blank, text)
-    lines = [" " * len(x) if _CODE_LINE.match(x) else x for x in text.split("\n")]
+    lines = [" " * len(x) if (y := x.strip()) and (y[-1] in ";{" or _CODE_LINE.match(y)) else x for x in text.split("\n")]
     return _LINKS.sub(_blank, "\n".join(lines))
 
 
@@ -113,12 +113,17 @@ class Field:
             e = self.seen[word] = self.weights[features(word)].sum(0)
         return e
 
-    def marginals(self, sequences: list[list[str]], chunk: int = 256) -> list[np.ndarray]:
-        """Each word's distribution over the languages."""
+    def marginals(self, sequences: list[list[str]], cells: int = 20_000) -> list[np.ndarray]:
+        """Each word's distribution over the languages. Sequences of like length are worked on together, up to `cells`
+        words with their padding, so a very long one is alone."""
         out: list[np.ndarray] = [np.zeros((0, len(LANGUAGES)))] * len(sequences)
         order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
-        for a in range(0, len(order), chunk):
-            part = order[a:a + chunk]
+        a = 0
+        while a < len(order):
+            z = a + 1
+            while z < len(order) and (z - a + 1) * len(sequences[order[z]]) <= cells:
+                z += 1
+            part, a = order[a:z], z
             n = np.array([len(sequences[i]) for i in part])
             e = np.zeros((len(part), n.max(), len(LANGUAGES)), "float32")
             for row, i in enumerate(part):
