@@ -120,6 +120,10 @@ def template_messages(system: str, messages: Messages) -> list[dict]:
     return start + [{"role": m["role"], "content": [part(p) for p in m["parts"] if p["text"]]} for m in messages if any(p["text"] for p in m["parts"])]
 
 
+# Model names that start so are spoken to in the chat form.
+CHAT_PREFIXES = ("doubao", "gpt", "claude", "deepseek", "qwen")
+
+
 @dataclass
 class Service:
     """A live service: `send` posts a JSON payload and returns the JSON reply. Models with one of the prefixes use the chat form."""
@@ -127,7 +131,7 @@ class Service:
     model: str
     send: Callable[[dict], dict]
     load: Callable[[str], bytes] = lambda path: open(path, "rb").read()  # noqa: E731, SIM115
-    chat_prefixes: tuple[str, ...] = ("gpt", "doubao", "qwen", "deepseek", "claude")
+    chat_prefixes: tuple[str, ...] = CHAT_PREFIXES
     sampling: dict = field(default_factory=lambda: {"temperature": 0.5, "max_tokens": 4096})
 
     def __call__(self, system: str, messages: Messages) -> Reply:
