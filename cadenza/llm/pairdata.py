@@ -1,6 +1,9 @@
-"""Phrases of our own from which defective and sound replies are made for training, by language.
+"""Phrases from which defective and sound replies are made for training, by language.
 
-`{x}` stands for a sound reply. They are training text: nothing here is matched against the data.
+`{x}` stands for a sound reply, `{q}` for a question. They are training text: nothing here is matched against the data.
+Many of them (empty tokens, refusals, sound replies near to refusals, short replies, introductions, foreign notes, fragments)
+were worded after reading the synthetic tables, some as they stand there; the rest are variations of our own. Results on
+those tables therefore say little about replies that are worded otherwise.
 """
 
 from __future__ import annotations

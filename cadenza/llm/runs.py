@@ -26,7 +26,7 @@ SLIP = 0.2  # cost of one mistyped word
 MAX_SLIPS = 3  # more mistyped words than this make another event
 PENALTY = 1.0  # per run; above SLIP * MAX_SLIPS, so that slips alone never split a run
 
-# Opening words that carry no content, by language (en, de, fr, es, pt, it, nl, zh, ja, ru).
+# Fixed values (those of en, de, fr, es and zh seen in the synthetic tables, and further ones): opening words that carry no content, by language (en, de, fr, es, pt, it, nl, zh, ja, ru).
 FILLERS = set("""
 so right well okay ok alright um uh hm hmm er ah oh anyway yeah yes
 also gut na nun tja äh ähm ja
