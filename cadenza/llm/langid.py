@@ -34,9 +34,13 @@ MIN_FOREIGN = 4  # words of a stretch that counts as a passage inside a sentence
 
 _blank = lambda m: re.sub(r"[^\n]", " ", m.group())
 _tag = lambda m: " " * (len(m.group()) - 1) + "\n"
-_FENCE = re.compile(r"(?ms)^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\1|\Z)")
+_fence = lambda m: (m["tag"] or "") + re.sub(r"[^\n]", " ", m.group()[len(m["tag"] or ""):-1]) + "\n"
 _PRE = re.compile(r"(?is)<(pre|code|script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-_BLOCK = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|tr|td|table|h\d|blockquote|hr)\b[^<>]*>")
+_BLOCK_TAG = r"</?(?:p|br|div|li|ul|ol|tr|td|table|h\d|blockquote|hr)\b[^<>]*>"
+_BLOCK = re.compile(f"(?i){_BLOCK_TAG}")
+# A fence opens at a line start, right after a block tag (which stays), or at the end of a line; masked, it ends its line. One without a partner masks its own mark only.
+_FENCE = re.compile(rf"(?ims)(?:^[ \t>]*|(?P<tag>{_BLOCK_TAG})[ \t>]*|(?=```[a-z0-9+#.-]*[ \t]*$))(?P<f>```|~~~).*?(?:^[ \t>]*(?P=f)[`~]*[a-z0-9+#.-]*[ \t]*(?=$|<)|(?P=f))")
+_STRAY = re.compile(r"(?im)(?:^[ \t>]*|(?<=>)[ \t]*)(?:```|~~~)[`~]*[a-z0-9+#.-]*[ \t]*(?=$|<)")
 _INLINE = re.compile(r"(?s)<!--.*?-->|</?[A-Za-z][^<>\n]{0,200}>|&(?:#\d+|#x[0-9a-fA-F]+|\w{2,8});")
 _LINKS = re.compile(r"""(?i)\b(?:https?|ftp|file)://\S+|\bwww\.\S+|\b[\w.+-]{1,64}@[\w-]{1,64}\.\w+|`[^`\n]*`|(?<![\w.-])[\w.-]{0,99}[/\\][\w./\\-]+|\b\w+(?:_\w+)+\b|\b[A-Za-z]+-?\d[\w-]*""")
 _CODE_LINE = re.compile(  # of a line without outer white space
@@ -53,7 +57,7 @@ _WORD = re.compile(r"[぀-ゟ]+|[゠-ヿㇰ-ㇿ]+|[㐀-鿿々]{1,4}|[^\W\d_぀-
 def prose(text: str) -> str:
     """The text with everything that has no language replaced by blanks, of the same length."""
     text = text.replace("\r\n", " \n").replace("\r", "\n").replace(" ", "\n").replace("\xa0", " ")
-    text = _FENCE.sub(_blank, text)
+    text = _STRAY.sub(_tag, _FENCE.sub(_fence, text))
     text = _PRE.sub(_blank, text)
     text = _BLOCK.sub(_tag, text)
     text = _INLINE.sub(_blank, text)

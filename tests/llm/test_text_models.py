@@ -27,6 +27,31 @@ def test_labels_and_segments():
     assert len(langid.prose(text)) == len(text)
 
 
+EN, IT = "Please post a picture of the belt so that we can see it.", "Non abbiamo trovato la chiave in nessuno di questi cassetti."
+CODE = "select level from t396 group by level\nqueue timed out"
+
+
+@pytest.mark.parametrize("text, want", [
+    (f"<p>```\n{CODE}\n```</p><p>{EN}</p>", ["en"]),
+    (f"<p>{EN}</p><p>```\n{CODE}\n```</p><p>{IT}</p><p>```sql\n{CODE}\n```</p><p>{EN}</p>", ["en", "it", "en"]),
+    (f"<div class='x'>~~~\n{CODE}\n~~~</div>{IT}<br>{EN}", ["it", "en"]),
+    (f"{EN} ```\n{CODE}\n```\n{IT}\n```\n{CODE}\n```\n{EN}", ["en", "it", "en"]),
+    (f"{EN}\n```\n{IT}", ["en", "it"]),
+    (f"```\n{CODE}\n``` {IT}", ["it"]),
+    (f"{EN}<p>```x```<p>{IT}", ["en", "it"]),
+])
+def test_prose_after_a_fence_is_kept(text, want):
+    masked = langid.prose(text)
+    assert len(masked) == len(text) and "queue" not in masked and "```" not in masked
+    assert [LANGUAGES[c] for _, _, c, _, _ in langid.passages([text], langid.seed_field())[0]] == want
+
+
+def test_fences_behind_block_tags(spark):
+    rows = [(1, f"<p>```\n{CODE}\n```</p><p>{EN}</p>", None), (2, f"<p>```\n{CODE}\n```</p><p>{EN}</p><p>{IT}</p>", "en")]
+    got = langid.label_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.seed_field()).collect()
+    assert {(r.key, r.lang, r.n_langs) for r in got} == {(1, "en", 1), (2, "en", 2), (2, "it", 2)}
+
+
 def test_held_out_sentences():
     held = {"en": "We could not find the missing key in any of these drawers.", "de": "Wir haben den fehlenden Schlüssel in keiner Schublade gefunden.", "fr": "Nous n'avons trouvé la clé dans aucun de ces tiroirs.",
             "es": "No encontramos la llave en ninguno de estos cajones.", "pt": "Não encontramos a chave em nenhuma dessas gavetas.", "it": "Non abbiamo trovato la chiave in nessuno di questi cassetti.",
