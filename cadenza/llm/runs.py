@@ -3,7 +3,7 @@
 Near-identical events are told from different ones by a dissimilarity between their normal forms: letter case,
 spacing, punctuation, decoration and one opening filler word do not count; a slip of the keyboard costs a
 little; another number, direction or object is another event and may not share a run. Runs are the optimal
-segmentation of a sequence under the sum of dissimilarities to each run's medoid plus a penalty per run,
+segmentation of a sequence: the fewest runs, and of these the least sum of dissimilarities to each run's medoid,
 found by dynamic programming with pruning (start points whose run cannot become one event any more are dropped).
 """
 
@@ -24,7 +24,7 @@ from cadenza.functions.text import is_blank, is_silence
 
 SLIP = 0.2  # cost of one mistyped word
 MAX_SLIPS = 3  # more mistyped words than this make another event
-PENALTY = 1.0  # per run; above SLIP * MAX_SLIPS, so that slips alone never split a run
+PENALTY = 1.0  # per run; above SLIP * MAX_SLIPS. Runs count before dissimilarities, so that slips never split a run, however often they are said again
 
 # Fixed values (those of en, de, fr, es and zh seen in the synthetic tables, and further ones): opening words that carry no content, by language (en, de, fr, es, pt, it, nl, zh, ja, ru).
 FILLERS = set("""
@@ -135,9 +135,10 @@ def _two_edits(a: str, b: str) -> bool:
     return max(len(x), len(y)) <= 4 or sum((Counter(x) - Counter(y)).values()) <= 2 >= sum((Counter(y) - Counter(x)).values())
 
 
-def segment(forms: list, penalty: float = PENALTY, cost=dissimilarity, apart=unrelated) -> list[tuple[int, int]]:
+def segment(forms: list, penalty: float | None = None, cost=dissimilarity, apart=unrelated) -> list[tuple[int, int]]:
     """Optimal runs [start, end) of a sequence; of equally good ones those with the longest last run.
 
+    Optimal are the fewest runs, then the least dissimilarity; with a `penalty` the least sum of it per run and dissimilarity.
     Equal neighbours are taken together first, which no optimum splits. A start point is dropped as soon as its run
     holds two forms that are `apart`: no later form can bring them into one run.
     """
@@ -147,7 +148,8 @@ def segment(forms: list, penalty: float = PENALTY, cost=dissimilarity, apart=unr
             blocks[-1][2] = i + 1
         else:
             blocks.append([form, i, i + 1])
-    best, back = [-penalty], [0]
+    per_run, extra = (PENALTY, 0.0) if penalty is None else (0.0, penalty)
+    best, back = [(0.0, -extra)], [0]
     open_: list[tuple[int, dict, dict]] = []  # first block, weight of each form, cost of each form as medoid
     for s, (form, first, end) in enumerate(blocks):
         open_.append((s, {}, {}))
@@ -164,7 +166,7 @@ def segment(forms: list, penalty: float = PENALTY, cost=dissimilarity, apart=unr
             kept.append((start, weight, medoid))
             c = min(medoid.values())
             if c < inf:
-                options.append((best[start] + c + penalty, start))
+                options.append(((best[start][0] + per_run, best[start][1] + c + extra), start))
         value, start = min(options)
         best.append(value)
         back.append(start)

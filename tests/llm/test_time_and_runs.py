@@ -81,6 +81,29 @@ def test_two_slips_meet_in_the_right_word():
     assert len(runs.segment([runs.tokens("a b")] * 20_000)) == 1
 
 
+def test_slips_said_again_never_split_a_run():
+    a, one, two, three = (runs.tokens(x) for x in ("slide the small blanket", "slide the small blaknet", "slide the smal blaknet", "slidde the smal blaknet"))
+    for n, slipped in ((6, one), (3, two), (2, three), (500, three)):
+        assert runs.segment([a] * n + [slipped] * n) == [(0, 2 * n)]
+        assert runs.segment(([a] * n + [slipped] * n) * 2 + [runs.tokens("slide the rug")] * n) == [(0, 4 * n), (4 * n, 5 * n)]
+    left, right = runs.tokens("turn the blanket left"), runs.tokens("turn the blanket right")
+    assert runs.segment([left] * 9 + [right] + [left] * 9) == [(0, 9), (9, 10), (10, 19)]
+    got = runs.runs_of([(t, "Slide the small blanket" if t < 6 else "slide the small blaknet!") for t in range(12)] + [(12, None)])
+    assert [r[:4] for r in got] == [("talk", 0, 11, 12), ("silence", 12, 12, 1)]
+
+
+def test_fewest_runs_then_least_dissimilarity():
+    rng = random.Random(6)
+    table = {(a, b): rng.choice([0.1, 0.4, 0.9, float("inf")]) for a in range(5) for b in range(a)}
+    cost = lambda a, b: 0.0 if a == b else table[max(a, b), min(a, b)]
+    for _ in range(150):
+        forms = [rng.randrange(5) for _ in range(rng.randint(1, 8))]
+        total = lambda cuts: (len(cuts), round(brute_cost(forms, cuts, cost) - len(cuts), 6))
+        every = [[(a, b) for a, b in zip([0, *cut], [*cut, len(forms)])] for mask in range(1 << (len(forms) - 1)) for cut in [[i + 1 for i in range(len(forms) - 1) if mask >> i & 1]]]
+        best = min(total(cuts) for cuts in every if brute_cost(forms, cuts, cost) < float("inf"))
+        assert total(runs.segment(forms, None, cost, lambda a, b: False)) == best
+
+
 def test_runs(spark):
     ddl = "prediction_id long, conversations array<struct<`from`: string, value: string, timestamp: double, pred: string>>, at string"
     a = lambda t, p: ("assistant", "v", t, p)
