@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000  # most rows that `small` sends to every executor
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,5 +49,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows made on the driver as a table, with a broadcast hint only while they number at most `most`; beyond it joins shuffle."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
