@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import is_blank, is_silence
@@ -72,13 +72,44 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "share_filled", F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity, what must hold of any packing: every document is placed with all its tokens once, no container is
+    over-full, and only documents above the capacity are cut."""
+    sizes = _sized(spark, sf_dir)
+    out = []
+    for r in table(spark, sf_dir, "pack_sizes").collect():
+        placed = written(packing.pack(sizes, r["capacity_tokens"]), "placed")
+        fullest = placed.groupBy("container").agg(F.sum("size").alias("s")).agg(F.max("s"))
+        per = placed.groupBy("doc_id").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+        per = sizes.join(per, "doc_id", "left").agg(
+            F.count(F.lit(1)).alias("n_docs"), F.every(F.coalesce(F.col("s") == F.col("n_tokens"), F.lit(False))).alias("tokens_once"),
+            F.every((F.col("n") == 1) | (F.col("n_tokens") > r["capacity_tokens"])).alias("whole_if_fits"))
+        out.append(per.select(F.lit(r["pack_name"]).alias("pack_name"), "n_docs", "tokens_once", "whole_if_fits", (fullest.scalar() <= r["capacity_tokens"]).alias("none_over")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a document in every mix, with its place."""
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    sizes, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(sizes, targets), targets, sizes)
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix and source, what must hold of any mix: the repeats are kept, each use occurs once, and the source has its
+    share of the budget (less one document at most) unless it is at its limit."""
+    sizes, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    mixed = written(mixing.mix(sizes, targets), "mixed")
+    uses = mixed.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "use").alias("d"))
+    got = mixing.shares(mixed, targets, sizes).join(uses, ["mix_name", "source"], "left").join(mixing.goals_of(targets).select("mix_name", "source", "budget_share"), ["mix_name", "source"])
+    whole = sizes.agg(F.sum("n_tokens").alias("all_tokens"), F.max("n_tokens").alias("largest"))
+    share = got.withColumn("part", F.col("target_share") / F.sum("target_share").over(Window.partitionBy("mix_name")))
+    due = F.col("part") * F.col("budget_share") * whole.select("all_tokens").scalar() - whole.select("largest").scalar()
+    return share.select("mix_name", "source", "target_share", "max_repeats", (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"),
+                        F.coalesce(F.col("n") == F.col("d"), F.lit(True)).alias("uses_once"), (F.col("at_limit") | (F.col("tokens") >= due)).alias("share_reached"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +133,9 @@ SQL = {
         j AS (SELECT ref_id, gen_id, row_number() OVER (PARTITION BY gen_id ORDER BY abs(g.t - r.t), ref_id) n
             FROM g JOIN r ON g.s = r.s WHERE abs(g.t - r.t) <= 2000000)
         SELECT ref_id, gen_id FROM j WHERE n = 1""",
+    "p6_checks": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_docs, TRUE AS tokens_once, TRUE AS whole_if_fits, TRUE AS none_over FROM pack_sizes",
+    "p7_checks": r"""SELECT mix_name, regexp_replace(lower(trim(source)), '[\s_.\-]+', '-', 'g') AS source, sum(target_share) AS target_share, min(max_repeats) AS max_repeats,
+        TRUE AS repeats_kept, TRUE AS uses_once, TRUE AS share_reached FROM mix_targets GROUP BY ALL""",
 }
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p6_packed": p6_packed, "p6_fill": p6_fill,
-           "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_checks": p6_checks,
+           "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_passages": p8_passages}

@@ -110,7 +110,7 @@ def test_mix(spark, monkeypatch):
     assert all(n == 1 for (m, i), n in per.items() if m == "n")
     assert len({(r.mix_name, r.doc_id, r.use) for r in uses}) == len(uses)
     total = sum(n or 0 for *_, n, _ in docs)
-    got = {(r.mix_name, r.source): r for r in mixing.shares(mixed, t).collect()}
+    got = {(r.mix_name, r.source): r for r in mixing.shares(mixed, t, d).collect()}
     assert got["m", "gone"].tokens == 0
     assert abs(sum(r.tokens for r in got.values() if r.mix_name == "n") - 0.1 * total) <= 60
     limit = {s: sum(n or 0 for _, x, n, _ in docs if x and x.strip().lower().replace("_", "-") == s) for s in ("big", "small-one")}
@@ -121,3 +121,33 @@ def test_mix(spark, monkeypatch):
     assert len({x[0] for x in order}) > 50
     assert mixing.mix(d.limit(0), t).count() == 0
     assert mixed.where(F.col("n_tokens") <= 0).count() == 0
+
+
+TARGETS = "mix_name string, budget_share double, source string, target_share double, max_repeats int"
+
+
+def test_targets_named_twice_count_together(spark):
+    d = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(1000)], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("m", 0.5, "a", 0.3, 3), ("m", 0.5, " A ", 0.3, 1), ("m", 0.5, "b", 0.4, 1), ("m", 0.5, " ", 0.4, 1)], TARGETS)
+    got = {r.source: r for r in mixing.shares(mixing.mix(d, t), t, d).collect()}
+    assert set(got) == {"a", "b"} and abs(got["a"].tokens - 3000) <= 10 and abs(got["b"].tokens - 2000) <= 10
+    assert (got["a"].target_share, got["a"].max_repeats) == (0.6, 1)
+
+
+def test_at_limit_means_all_tokens_used(spark):
+    d = spark.createDataFrame([(i, "scarce" if i < 100 else "rich", 10) for i in range(1100)], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("m", 0.25, "scarce", 0.8, 3), ("m", 0.25, "rich", 0.2, 1), ("n", 1.0, "scarce", 0.8, 3), ("n", 1.0, "rich", 0.2, 1)], TARGETS)
+    got = {(r.mix_name, r.source): (r.tokens, r.at_limit) for r in mixing.shares(mixing.mix(d, t), t, d).collect()}
+    assert abs(got["m", "scarce"][0] - 2200) <= 10 and not got["m", "scarce"][1] and not got["m", "rich"][1]
+    assert got["n", "scarce"] == (3000, True) and abs(got["n", "rich"][0] - 8000) <= 10 and not got["n", "rich"][1]
+
+
+def test_cycles_keep_blocks_small(spark):
+    d = spark.createDataFrame([(i, "a" if i % 4 else "b", 7) for i in range(4000)], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("m", 1.0, "a", 0.75, 1), ("m", 1.0, "b", 0.25, 1)], TARGETS)
+    uses = sorted((r.slot, r.at, r.source, r.n_tokens) for r in mixing.mix(d, t, blocks=16, block_tokens=100).collect())
+    assert len(uses) == 4000
+    a = b = 0
+    for _, _, s, n in uses:
+        a, b = a + n * (s == "a"), b + n * (s == "b")
+        assert abs(b - 0.25 * (a + b)) <= 2 * 100 + 7
