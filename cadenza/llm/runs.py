@@ -24,27 +24,33 @@ from cadenza.functions.text import is_blank, is_silence
 
 SLIP = 0.2  # cost of one mistyped word
 MAX_SLIPS = 3  # more mistyped words than this make another event
-PENALTY = 1.0  # per run; above SLIP * MAX_SLIPS. Runs count before dissimilarities, so that slips never split a run, however often they are said again
+PENALTY = 1.0  # what a dissimilarity within one event stays below. Runs count before dissimilarities, so that slips never split a run, however often they are said again
 
-# Fixed values (those of en, de, fr, es and zh seen in the synthetic tables, and further ones): opening words that carry no content, by language (en, de, fr, es, pt, it, nl, zh, ja, ru).
+# Discourse markers and interjections that may open an utterance without adding to it, by language (en, de, fr, es, pt, it, nl, zh, ja,
+# ru). Chosen from general knowledge of these languages, as grammars list them.
 FILLERS = set("""
-so right well okay ok alright um uh hm hmm er ah oh anyway yeah yes
-also gut na nun tja äh ähm ja
-alors voilà bon bah euh ben donc oui
-entonces vale bueno pues eh sí
-então bem bom pronto
-allora ecco dunque beh
-dus nou goed
-嗯 好 那么 那 呃 啊 哦 好的 好吧 对
-えっと では さて はい
-ну так итак хорошо
+so well now okay ok right alright anyway anyhow actually basically look listen see hey um uhm uh hm hmm er erm ah oh yeah yes yep sure fine great good
+also gut nun na naja tja äh ähm hm ja okay jetzt schau hör genau schön ach
+alors voilà bon bah ben euh hein donc oui enfin bref tiens allez ok
+entonces vale bueno pues eh este sí mira oye venga claro bien a ver ok
+então bem bom pronto olha ora pois sim ok
+allora ecco dunque beh bene insomma senti guarda sì ok
+dus nou goed oké kijk zeg ja hè tja
+嗯 好 那么 那 呃 啊 哦 好的 好吧 对 嗨 喂 来 唔 哎 那个
+えっと では さて はい じゃあ ええ まあ あの うん
+ну так итак хорошо вот ладно да слушай смотри э
 """.split())
-# Words that name a direction or a state; exchanging one for another is never a slip.
+# Words of opposite or neighbouring meaning that lie close to each other in spelling or are exchanged in instructions: directions, states,
+# numbers. Exchanging one for another is never a slip. Chosen from general knowledge as well.
 CONTRASTS = set("""
-left right lift up down upper lower top bottom in on out off open close closed front back more less hot cold
-links rechts linke rechte linken rechten oben unten obere untere oberen unteren ein aus auf zu mehr weniger
-gauche droite droit haut bas plus moins ouvrir fermer
-izquierda derecha izquierdo derecho arriba abajo más menos
+left right lift up down upper lower top bottom in on out off open close opened closed front back more less hot cold hard soft push pull
+with without inside outside before after first last forward backward high low near far start stop eight eighty four forty six sixty seven seventy nine ninety
+links rechts linke rechte linken rechten linkes rechtes oben unten obere untere oberen unteren ein aus auf ab zu mehr weniger vorn hinten vorne mit ohne
+nein kein eine keine einen keinen acht achtzig drei dreißig sechs sechzig sieben siebzig
+gauche droite droit haut bas plus moins ouvrir fermer ouvrez fermez avant après dessus dessous chaud froid deux douze trois treize
+izquierda derecha izquierdo derecho arriba abajo más menos abre cierra abrir cerrar dentro fuera antes después alto bajo seis siete dos doce tres trece
+esquerda direita cima baixo mais abre fecha sinistra destra sopra sotto apri chiudi links rechts boven onder open dicht
+лево право влево вправо вверх вниз открой закрой больше меньше
 """.split())
 
 _TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -135,12 +141,41 @@ def _two_edits(a: str, b: str) -> bool:
     return max(len(x), len(y)) <= 4 or sum((Counter(x) - Counter(y)).values()) <= 2 >= sum((Counter(y) - Counter(x)).values())
 
 
+class _Start:
+    """The run from one start point, read on only when it is asked for: weights of its forms, and the forms it could have as medoid."""
+
+    __slots__ = ("upto", "weight", "able")
+
+    def __init__(self, at: int):
+        self.upto, self.weight, self.able = at, {}, set()
+
+    def read(self, blocks: list, to: int, cost) -> None:
+        for form, first, end in blocks[self.upto:to]:
+            if form not in self.weight:
+                self.able = {m for m in self.able if cost(form, m) < inf}
+                if all(cost(f, form) < inf for f in self.weight):
+                    self.able.add(form)
+                self.weight[form] = 0
+            self.weight[form] += end - first
+        self.upto = to
+
+    def cost(self, cost) -> float:
+        return min(sum(w * cost(f, m) for f, w in self.weight.items()) for m in self.able)
+
+
 def segment(forms: list, penalty: float | None = None, cost=dissimilarity, apart=unrelated) -> list[tuple[int, int]]:
     """Optimal runs [start, end) of a sequence; of equally good ones those with the longest last run.
 
     Optimal are the fewest runs, then the least dissimilarity; with a `penalty` the least sum of it per run and dissimilarity.
-    Equal neighbours are taken together first, which no optimum splits. A start point is dropped as soon as its run
-    holds two forms that are `apart`: no later form can bring them into one run.
+    Equal neighbours are taken together first, which no optimum splits. Two prunings keep the optimum:
+
+    * A start point is dropped as soon as its run holds two forms that no form of the sequence is alike to both of (`apart`
+      is a cheap test that says so for most): nothing later can bring them into one run. All forms behind the last drop are
+      then in no such conflict with each other, so only forms that are new there need the test.
+    * Start points are kept by the number of runs before them. An end is sought in the runs of the lowest number first; if
+      one is possible, those of higher numbers cannot win and are not looked at. Their runs are read on only when needed.
+
+    A long stretch of the same event in many forms therefore costs one step per block and one per pair of distinct forms.
     """
     blocks: list[list] = []  # form, first, end
     for i, form in enumerate(forms):
@@ -148,34 +183,65 @@ def segment(forms: list, penalty: float | None = None, cost=dissimilarity, apart
             blocks[-1][2] = i + 1
         else:
             blocks.append([form, i, i + 1])
-    per_run, extra = (PENALTY, 0.0) if penalty is None else (0.0, penalty)
-    best, back = [(0.0, -extra)], [0]
-    open_: list[tuple[int, dict, dict]] = []  # first block, weight of each form, cost of each form as medoid
-    for s, (form, first, end) in enumerate(blocks):
-        open_.append((s, {}, {}))
-        options, kept = [], []
-        for start, weight, medoid in open_:
-            if form not in medoid:
-                if any(apart(f, form) for f in weight):
-                    continue
-                medoid[form] = sum(w * cost(f, form) for f, w in weight.items())
-            for m in medoid:
-                if m != form:
-                    medoid[m] += (end - first) * cost(form, m)
-            weight[form] = weight.get(form, 0) + end - first
-            kept.append((start, weight, medoid))
-            c = min(medoid.values())
-            if c < inf:
-                options.append(((best[start][0] + per_run, best[start][1] + c + extra), start))
-        value, start = min(options)
-        best.append(value)
-        back.append(start)
-        open_ = kept
-    runs, at = [], len(blocks)
+    back = [0]
+    totals: dict[int, float] = {0: 0.0}
+    levels: dict[int, list[int]] = {}  # number of runs before -> start points, rising; with a penalty all count as 0
+    states: dict[int, _Start] = {}
+    runs, low = [0], 0  # start points below `low` are dropped
+    last: dict = {}  # last block of each form at or behind `low`
+
+    every = set(forms)
+    kin: dict = {}
+
+    def alike(form) -> set:
+        if form not in kin:
+            kin[form] = {m for m in every if cost(form, m) < inf}
+        return kin[form]
+
+    def conflict(a, b) -> bool:
+        return apart(a, b) or (cost(a, b) == inf and alike(a).isdisjoint(alike(b)))
+
+    def total(to: int) -> float:
+        """Dissimilarity of the best segmentation of the blocks before `to`."""
+        chain = []
+        while to not in totals:
+            chain.append(to)
+            to = back[to]
+        for at in reversed(chain):
+            own = _Start(back[at])
+            own.read(blocks, at, cost)
+            totals[at] = totals[back[at]] + own.cost(cost) + (penalty or 0.0)
+        return totals[chain[0] if chain else to]
+
+    for s, (form, _, _) in enumerate(blocks):
+        levels.setdefault(runs[s] if penalty is None else 0, []).append(s)
+        if form not in last:
+            hit = max((at for f, at in last.items() if conflict(f, form)), default=-1)
+            if hit >= low:
+                low = hit + 1
+                last = {f: at for f, at in last.items() if at >= low}
+                states = {at: x for at, x in states.items() if at >= low}
+                levels = {n: kept for n, v in levels.items() if (kept := [at for at in v if at >= low])}
+        last[form] = s
+        for n in sorted(levels):
+            fit = []
+            for start in levels[n]:
+                state = states.get(start) or states.setdefault(start, _Start(start))
+                state.read(blocks, s + 1, cost)
+                if state.able:
+                    fit.append(start)
+            if fit:
+                if len(fit) > 1:
+                    fit.sort(key=lambda at: (round(total(at) + states[at].cost(cost), 9), at))
+                    totals[s + 1] = total(fit[0]) + states[fit[0]].cost(cost) + (penalty or 0.0)
+                back.append(fit[0])
+                runs.append(runs[fit[0]] + 1)
+                break
+    out, at = [], len(blocks)
     while at:
-        runs.append((blocks[back[at]][1], blocks[at - 1][2]))
+        out.append((blocks[back[at]][1], blocks[at - 1][2]))
         at = back[at]
-    return runs[::-1]
+    return out[::-1]
 
 
 def runs_of(events: list[tuple[int, str | None]]) -> list[tuple[str, int, int, int, str]]:
@@ -212,7 +278,8 @@ def collapse(sequences: DataFrame) -> DataFrame:
     """Runs of each row of (id BIGINT, at ARRAY<INT>, said ARRAY<STRING>), both arrays in order of time.
 
     A NULL or wordless text is silence: it ends a run, and silences in a row form a run of kind `silence`. Empty or
-    NULL arrays give no rows. A row is a whole sequence and stays one unit of work; there is no shuffle.
+    NULL arrays give no rows. A row is a whole sequence; it is cut at its silences and worked on stretch by stretch. There
+    is no shuffle.
     Output: id, kind (talk, silence), start_second, end_second, n_events, text of the first event.
     """
     return sequences.where("id is not null and size(at) > 0").mapInPandas(
@@ -220,9 +287,13 @@ def collapse(sequences: DataFrame) -> DataFrame:
 
 
 def sequences_of(predictions: DataFrame) -> DataFrame:
-    """Assistant turns with a pred in order of time, as `collapse` takes them; silence becomes NULL."""
-    turns = F.filter("conversations", lambda c: (c["from"] == "assistant") & c["pred"].isNotNull() & c["timestamp"].isNotNull())
+    """Assistant turns with a pred in order of time, as `collapse` takes them; silence becomes NULL.
+
+    Turns of one time keep their order in the row. Seconds are cut to whole ones only after the ordering.
+    """
+    numbered = F.transform("conversations", lambda c, i: F.struct(c["timestamp"].alias("ts"), i.alias("i"), c["from"].alias("f"), c["pred"].alias("pred")))
+    turns = F.filter(numbered, lambda c: (c["f"] == "assistant") & c["pred"].isNotNull() & c["ts"].isNotNull())
     said = lambda c: F.when(~is_silence(c["pred"]) & ~is_blank(c["pred"]), c["pred"])
-    ordered: Column = F.array_sort(F.transform(turns, lambda c: F.struct(c["timestamp"].cast("int").alias("at"), said(c).alias("said"))))
+    ordered: Column = F.transform(F.array_sort(turns), lambda c: F.struct(c["ts"].cast("int").alias("at"), said(c).alias("said")))
     return (predictions.select(F.col("prediction_id").alias("id"), ordered.alias("e"))
             .select("id", F.col("e.at").alias("at"), F.col("e.said").alias("said")))

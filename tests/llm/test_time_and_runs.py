@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -114,3 +115,30 @@ def test_runs(spark):
     assert one == [("talk", 1, 4, 3), ("talk", 5, 5, 1), ("silence", 6, 7, 2), ("talk", 8, 8, 1)]
     assert [(r.id, r.n_events) for r in got.where("id <> 1").collect()] == [(5, 3)]
     assert runs.collapse(runs.sequences_of(spark.createDataFrame([], ddl))).count() == 0
+
+
+def test_fractional_times_keep_their_order(spark):
+    ddl = "prediction_id long, conversations array<struct<`from`: string, value: string, timestamp: double, pred: string>>"
+    a = lambda t, p: ("assistant", "v", t, p)
+    rows = [(1, [a(4.0, "Turn the wheel"), a(3.7, "Close the lid"), a(3.2, "Turn the wheel"), a(4.0, "Lift it")])]
+    got = runs.collapse(runs.sequences_of(spark.createDataFrame(rows, ddl))).collect()
+    assert [(r.start_second, r.end_second, r.n_events, r.text) for r in got] == [(3, 3, 1, "Turn the wheel"), (3, 3, 1, "Close the lid"), (4, 4, 1, "Turn the wheel"), (4, 4, 1, "Lift it")]
+
+
+def test_long_sequences_of_like_events():
+    rng = random.Random(9)
+    text = "slide the small blanket over the wooden table"
+
+    def slip(x):
+        w = x.split()
+        i = rng.choice([0, 2, 3, 6, 7])
+        k = rng.randrange(1, len(w[i]) - 1)
+        w[i] = w[i][:k] + rng.choice("qxz") + w[i][k:] if rng.random() < 0.5 else w[i][:k] + w[i][k + 1:]
+        return " ".join(w)
+
+    forms = [runs.tokens(slip(text) if rng.random() < 0.5 else text) for _ in range(100_000)]
+    began = time.perf_counter()
+    assert runs.segment(forms) == [(0, 100_000)]
+    assert time.perf_counter() - began < 30
+    different = [runs.tokens(f"step {i % 7} of it") for i in range(100_000)]
+    assert len(runs.segment(different)) == 100_000
