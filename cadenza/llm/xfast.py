@@ -7,17 +7,22 @@ and the list gives the other.
 
 An entity may hold any share of all rows, so the unit of work is (entity, block of time): references are
 copied into the neighbouring block where they lie within the tolerance of the border, and equal times of an
-entity are reduced to one reference before the shuffle. Probes of a block are spread over salts if there are many.
+entity are reduced to one reference before the shuffle. A block with many rows is cut into parts of consecutive
+time cells that hold about `rows_per_part` rows each, with the nearest reference before and behind added to each part;
+probes of one part beyond that number (many at one time) are spread over salts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+KEYS = ["entity", "block", "part", "salt"]
+CELLS = 1 << 16  # time cells of a block with many rows
 TICKS = 1_000_000  # ticks in a second: times are compared as exact decimals, not as binary fractions
 
 
@@ -30,12 +35,11 @@ class XFastTrie:
         self.before = dict(zip(keys[1:], keys))
         self.after = dict(zip(keys, keys[1:]))
         self.levels: list[dict[int, tuple[int, int]]] = []
+        sorted_keys = np.array(keys, "int64")
         for length in range(bits + 1):
-            shift, table = bits - length, {}
-            for k in keys:
-                p = k >> shift
-                table[p] = (table[p][0], k) if p in table else (k, k)
-            self.levels.append(table)
+            prefix, first = np.unique(sorted_keys >> (bits - length), return_index=True)
+            end = np.append(first[1:], len(keys)) - 1
+            self.levels.append(dict(zip(prefix.tolist(), zip(sorted_keys[first].tolist(), sorted_keys[end].tolist()))) if keys else {})
 
     def neighbours(self, q: int) -> tuple[int | None, int | None]:
         """Largest key at most q and smallest key at least q."""
@@ -61,7 +65,7 @@ def _bits(width: int) -> int:
 
 
 def _matcher(block: int, tolerance: int):
-    """mapInPandas over rows sorted by (entity, block, salt, side, tick): references come before probes."""
+    """mapInPandas over rows sorted by (entity, block, part, salt, side, tick): references come before probes."""
     span = block + 2 * tolerance + 1
     bits = _bits(span)
 
@@ -69,9 +73,9 @@ def _matcher(block: int, tolerance: int):
         key, refs, trie, base = None, {}, None, 0
         for pdf in batches:
             out_probe, out_ref, out_gap = [], [], []
-            for entity, b, salt, side, tick, rid in zip(pdf["entity"], pdf["block"], pdf["salt"], pdf["side"], pdf["tick"], pdf["rid"]):
-                if (entity, b, salt) != key:
-                    key, refs, trie, base = (entity, b, salt), {}, None, b * block - tolerance
+            for entity, b, part, salt, side, tick, rid in zip(*(pdf[c] for c in KEYS), pdf["side"], pdf["tick"], pdf["rid"]):
+                if (entity, b, part, salt) != key:
+                    key, refs, trie, base = (entity, b, part, salt), {}, None, b * block - tolerance
                 if side == 0:
                     refs[tick - base] = rid
                     continue
@@ -96,33 +100,57 @@ def to_ticks(seconds: Column) -> Column:
     return F.when(F.abs(t) < F.lit(4e18), t.cast("bigint"))
 
 
+def _in_parts(both: DataFrame, heavy: DataFrame, block: int, tol: int, limit: int) -> DataFrame:
+    """`both` with part and salt. The cells of a heavy block number at most CELLS, so its cumulative counts are bounded too,
+    and a cell holds few distinct times; the neighbours of a part come from aggregates, not from its rows."""
+    span = block + 2 * tol + 1
+    cell = F.floor((F.col("tick") - F.col("block") * F.lit(block) + F.lit(tol)) * F.lit(float(CELLS)) / F.lit(float(span))).cast("int")
+    both = both.withColumn("cell", cell)
+    at = F.when(F.col("side") == 0, F.struct("tick", "rid"))
+    cells = (both.join(heavy, ["entity", "block"], "left_semi").groupBy("entity", "block", "cell")
+             .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("least"), F.max(at).alias("most")))
+    order = Window.partitionBy("entity", "block").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("part", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / F.lit(limit)))
+    parts = cells.groupBy("entity", "block", "part").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    before = Window.partitionBy("entity", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("entity", "block").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    parts = parts.select("entity", "block", "part", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("salts"),
+                         F.array(F.last("most", True).over(before), F.first("least", True).over(behind)).alias("near"))
+    place = cells.select("entity", "block", "cell", "part").join(parts.select("entity", "block", "part", "salts"), ["entity", "block", "part"])
+    rows = (both.join(place, ["entity", "block", "cell"], "left").withColumn("part", F.coalesce("part", F.lit(0))).withColumn("salts", F.coalesce("salts", F.lit(1)))
+            .select("entity", "block", "part", "side", "tick", "rid", "salts"))
+    edges = (parts.select("entity", "block", "part", "salts", F.explode(F.array_compact("near")).alias("r"))
+             .select("entity", "block", "part", F.lit(0).alias("side"), "r.tick", "r.rid", "salts"))
+    # references go to every salt of their part, probes to one
+    own = F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid", "tick"), F.col("salts")).cast("int")))
+    return rows.unionByName(edges).withColumn("salt", F.explode(own)).drop("salts")
+
+
 def nearest(probes: DataFrame, refs: DataFrame, tolerance: float, *, block_seconds: int = 256,
-            probes_per_salt: int = 200_000) -> DataFrame:
+            rows_per_part: int = 50_000) -> DataFrame:
     """(probe_id, ref_id, gap_ticks): each probe's nearest reference of its entity within the tolerance.
 
     Both sides have `entity` BIGINT, `seconds` DOUBLE and `probe_id` or `ref_id` BIGINT. At equal distance the
     smaller ref_id wins. Rows with a NULL entity or time match nothing. Ids need not be unique: every probe row
-    gets its own result row. Blocks with more probes than `probes_per_salt` get further copies of their references.
+    gets its own result row. Blocks of more than `rows_per_part` rows are cut into parts; if there are none (one count
+    before the join tells), the joins that cut them are left out of the plan.
     """
     block, tol = block_seconds * TICKS, round(tolerance * TICKS)
     if tol >= block:
         raise ValueError("the tolerance must be shorter than a block")
+    floor_block = lambda c: ((c - F.pmod(c, F.lit(block))) / F.lit(block)).cast("bigint")
     p = (probes.select("entity", to_ticks(F.col("seconds")).alias("tick"), F.col("probe_id").alias("rid"))
-         .where("entity is not null and tick is not null").withColumn("block", (F.col("tick") - F.pmod("tick", F.lit(block))) / F.lit(block)))
-    p = p.withColumn("block", F.col("block").cast("bigint"))
+         .where("entity is not null and tick is not null").withColumn("block", floor_block(F.col("tick"))))
     r = (refs.select("entity", to_ticks(F.col("seconds")).alias("tick"), F.col("ref_id").alias("rid"))
          .where("entity is not null and tick is not null").groupBy("entity", "tick").agg(F.min("rid").alias("rid")))
-    floor_block = lambda c: ((c - F.pmod(c, F.lit(block))) / F.lit(block)).cast("bigint")
     r = r.withColumn("block", F.explode(F.array_distinct(F.array(
         floor_block(F.col("tick") - F.lit(tol)), floor_block(F.col("tick")), floor_block(F.col("tick") + F.lit(tol))))))
-    # Blocks with many probes: few, as each holds more than probes_per_salt rows of the table.
-    load = (p.groupBy("entity", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > probes_per_salt)
-            .select("entity", "block", F.ceil(F.col("n") / F.lit(probes_per_salt)).cast("int").alias("salts")))
-    p = p.join(load, ["entity", "block"], "left").withColumn(
-        "salt", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    r = r.join(load, ["entity", "block"], "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
-    cols = ["entity", "block", "salt", "side", "tick", "rid"]
-    both = r.withColumn("side", F.lit(0)).select(cols).unionByName(p.withColumn("side", F.lit(1)).select(cols))
-    return (both.repartition("entity", "block", "salt").sortWithinPartitions("entity", "block", "salt", "side", "tick")
+    cols = ["entity", "block", "tick", "rid"]
+    both = r.select(F.lit(0).alias("side"), *cols).unionByName(p.select(F.lit(1).alias("side"), *cols))
+    heavy = both.groupBy("entity", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_part).select("entity", "block")
+    if heavy.take(1):
+        both = _in_parts(both, heavy, block, tol, rows_per_part)
+    else:
+        both = both.withColumn("part", F.lit(0).cast("bigint")).withColumn("salt", F.lit(0))
+    return (both.select(*KEYS, "side", "tick", "rid").repartition(*KEYS).sortWithinPartitions(*KEYS, "side", "tick")
             .mapInPandas(_matcher(block, tol), "probe_id long, ref_id long, gap_ticks long"))

@@ -17,9 +17,9 @@ def test_trie_neighbours():
             assert t.neighbours(q) == (max(below, default=None), min(above, default=None))
 
 
-@pytest.mark.parametrize("per_salt", [200_000, 7])
-def test_nearest_is_brute_force(spark, per_salt):
-    rng = random.Random(per_salt)
+@pytest.mark.parametrize("per_part", [50_000, 40, 7, 1])
+def test_nearest_is_brute_force(spark, per_part):
+    rng = random.Random(per_part)
     time = lambda: rng.choice([None, float("nan"), *[rng.randint(-40, 300) / 4 for _ in range(12)]])
     entity = lambda: rng.choice([1, 1, 1, 2, None])
     p = [(entity(), time(), i, "x") for i in range(300)] + [(1, 2.0, 5, "again")]
@@ -32,7 +32,7 @@ def test_nearest_is_brute_force(spark, per_salt):
         if near:
             gap, j = min(near)
             want.append((i, j, gap))
-    got = xfast.nearest(probes, refs, 2.0, block_seconds=5, probes_per_salt=per_salt)
+    got = xfast.nearest(probes, refs, 2.0, block_seconds=5, rows_per_part=per_part)
     assert sorted((x.probe_id, x.ref_id, x.gap_ticks) for x in got.collect()) == sorted(want)
     assert xfast.nearest(probes.limit(0), refs, 2.0).count() == 0 == xfast.nearest(probes, refs.limit(0), 2.0).count()
 
@@ -142,3 +142,13 @@ def test_long_sequences_of_like_events():
     assert time.perf_counter() - began < 30
     different = [runs.tokens(f"step {i % 7} of it") for i in range(100_000)]
     assert len(runs.segment(different)) == 100_000
+
+
+def test_a_dense_block_is_cut(spark):
+    n = 300_000
+    refs = spark.range(n).selectExpr("1L as entity", "id * 0.0001 as seconds", "id as ref_id")
+    probes = spark.range(200_000).selectExpr("1L as entity", "if(id % 2 = 0, 20.00004, id * 0.00015 + 0.00001) as seconds", "id as probe_id")
+    got = xfast.nearest(probes, refs, 2.0)
+    want = probes.selectExpr("probe_id", "cast(round(seconds * 10000) as bigint) as want")
+    assert got.count() == 200_000
+    assert got.join(want, "probe_id").where("ref_id <> want").count() == 0
