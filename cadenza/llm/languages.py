@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-# Frequent function words.
+# Frequent function words, chosen from general knowledge of the languages.
 LEXICON = {k: frozenset(v.split()) for k, v in {
     "en": "the a an and or but if then that this these those is are was were be been being have has had do does did not no nor of in on at by for with from to into over under about as so than too very can could will would shall should may might must i you he she it we they me him her us them my your his its our their what which who whom whose when where why how there here again once just only before after while until because since any some each every both more most other such own same now please let",
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn dann dass ist sind war waren sein bin bist seid haben hat hatte habe hast nicht kein keine nichts nie von in im an am auf aus bei bis für mit nach seit zu zum zur über unter um als auch so sehr noch nur schon kann können könnte wird werden würde soll sollte muss darf ich du er sie es wir ihr mich mir dich dir ihn ihm uns euch mein dein unser was wer wie wo warum wann weil damit obwohl während bevor nachdem jetzt hier dort man doch mal bitte denn etwas jemand",
@@ -214,9 +214,144 @@ Laat het rusten, draai het om en vouw de randen naar het midden.""",
 しばらく休ませてから裏返し、端を真ん中に折ります。""",
 }.items()}
 
+# Code, commands, logs and settings without a language, written for this module: blocks of lines.
+CODE = [[x for x in block.split("\n") if x.strip()] for block in r"""
+def total_of(items, rate=0.2):
+    # sum up all items before the tax is added
+    result = sum(x.price for x in items)
+    if result > limit:
+        raise ValueError("too much")
+    for item in items:
+        item.done = True
+    while not queue.empty():
+    return result * (1 + rate)
+with open(path, encoding="utf-8") as handle:
+class Parser(Base):
+import numpy as np
+from os import path
+print(total_of(basket))
+    else:
+        pass
+====
+function render(list) {
+  // draw every row again when the list changes
+  const rows = list.filter(r => r.visible);
+  let node = document.getElementById('root');
+  if (!node) {
+    return null;
+  }
+  node.innerHTML = rows.map(r => r.name).join(', ');
+  await fetch(url).then(res => res.json());
+}
+export default render;
+var counter = 0;
+counter += step;
+====
+#include <stdio.h>
+int main(int argc, char **argv) {
+    /* print the value and leave */
+    printf("%d\n", value);
+    for (int i = 0; i < n; i++) {
+        sum += values[i];
+    }
+    return 0;
+}
+struct node *next;
+static const double ratio = 1.5;
+====
+SELECT name, count(*) FROM users GROUP BY name;
+select id, total from orders where total > 100 order by id;
+-- delete the old rows first
+DELETE FROM sessions WHERE expired = 1;
+insert into log (id, message) values (7, 'done');
+update accounts set balance = 0 where id = 12;
+CREATE TABLE points (x int, y int);
+alter table points add column z int
+join customers c on c.id = o.customer_id
+====
+$ cd /var/www && ls -la
+$ ./configure --prefix /usr/local
+sudo apt install python3-dev
+sudo systemctl restart nginx
+git commit -m "first version"
+docker run --rm -it -p 80:80 web
+cat access.log | grep error | sort | uniq -c > counts.txt
+curl -X POST -d @body.json
+pip install requests
+chmod +x run.sh
+rm -rf build/
+npm run build -- --watch
+>>> len(values)
+# start the service again
+export PATH=$PATH:/opt/bin
+====
+2021-03-04 11:22:33 INFO server started on port 8080
+2021-03-04 11:22:34 WARN cache miss for key user
+[ERROR] connection refused by host
+ERROR: could not open file
+WARN [pool] worker timed out after 30 ms
+INFO [main] ready in 12 ms
+DEBUG main.c:42 buffer flushed
+Mar 04 11:22:33 host kernel: usb disconnected
+level=info msg="request done" status=200
+Traceback (most recent call last):
+  File "main.py", line 3, in <module>
+NullPointerException at Main.java:17
+    at com.example.Main.run(Main.java:17)
+Segmentation fault (core dumped)
+process exited with code 1
+====
+server:
+  port: 8080
+  host: localhost
+[section]
+key = value
+timeout=30
+"name": "example",
+"version": "1.0.0",
+{
+}
+<config>
+  max_size: 20
+enabled: true
+====
+# Daten laden und prüfen
+daten = lade("werte.csv")
+# nur die letzten zehn Werte behalten
+werte = daten[-10:]
+// charger les données puis trier
+liste.sort();
+// primero se abre el archivo
+archivo.open("r");
+// データを読み込む
+load(data);
+// 读取文件
+file.read();
+# открыть файл и прочитать
+f = open(name)
+====
+public static void main(String[] args) {
+    List<String> names = new ArrayList<>();
+    names.add("a");
+    System.out.println(names.size());
+    try {
+        run();
+    } catch (IOException e) {
+        e.printStackTrace();
+    }
+}
+fn area(w: f64, h: f64) -> f64 {
+    let a = w * h;
+    println!("{}", a);
+func Add(a int, b int) int {
+    return a + b
+puts "hello" if ready
+end
+""".strip().split("\n====\n")]
+
 LANGUAGES = tuple(SEED)
 
-# Names under which a language appears in labels (ISO 639-1 codes are added).
+# Names under which a language appears in labels (ISO 639-1 codes are added).
 NAMES = {
     "en": "eng english englisch anglais inglés inglês inglese engels английский 英语 英文 英語",
     "de": "deu ger german deutsch allemand alemán alemão tedesco duits немецкий 德语 德文 ドイツ語",

@@ -469,7 +469,7 @@ def label_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:
     Repeated rows are labelled each; texts of any length are read whole. No shuffle.
     """
     sc = pairs.sparkSession.sparkContext
-    shared = sc.broadcast((model.weights, model.thresholds, (model.language.weights, model.language.transitions, model.language.start), model.words))
+    shared = sc.broadcast((model.weights, model.thresholds, model.language.parts, model.words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, t, lang, words = shared.value

@@ -46,6 +46,30 @@ def test_prose_after_a_fence_is_kept(text, want):
     assert [LANGUAGES[c] for _, _, c, _, _ in langid.passages([text], langid.seed_field())[0]] == want
 
 
+PROSE = [("# Wie man einen guten Kuchen backt", "de"), ("## Comment faire un bon gâteau", "fr"), ("For this recipe you will need:", "en"), ("If you want to know more about this:", "en"),
+         ("Er kam, er sah und er siegte;", "de"), ("    Dear Anna, we have been here for two weeks and the weather is fine.", "en"), ("\tHeute war ich wieder lange in der Stadt.", "de"),
+         ("Error: der Drucker ist heute leider kaputt", "de"), ("- Non lo so ancora, ma forse domani;", "it"), ("> Ik weet het nog niet, maar misschien morgen:", "nl"), ("# Загадка старого дома", "ru"),
+         ("1. Primero hay que abrir la puerta;", "es"), ("# Como fazer um bom bolo em casa", "pt"), ("## 美味しいケーキの作り方", "ja"), ("# 怎么做一个好吃的蛋糕", "zh"), ("while you wait, you can read this {", "en")]
+LINES = ["x = read_buf(546)", "// reset the buffer when the queue overflows", "for x in values: print(x)", "sudo run -n 3 | sort -u > out.log", "    return state[356:frame]  # keep the last one", "const a = b.map(x => x + 1);",
+         "2024-05-06 07:08:09 INFO server started", "def get(a, b):\n    # keep the last value of it\n    return a", "{\n  \"name\": \"value\",\n}", "$ ./configure --prefix /usr"]
+
+
+@pytest.mark.parametrize("field", [langid.seed_field, lambda: langid.train([t for t, _ in PROSE[:4]])])
+def test_layout_alone_erases_no_prose(field):
+    f = field()
+    got = [[LANGUAGES[c] for _, _, c, _, w in p if w] for p in langid.passages([t for t, _ in PROSE], f)]
+    assert got == [[k] for _, k in PROSE]
+    assert [[x[:3] for x in langid.passages([t], f)[0]] for t, _ in PROSE] == [[x[:3] for x in p] for p in langid.passages([t for t, _ in PROSE], f)]
+    code = langid.passages(LINES, f)
+    assert sum(bool(p) for p in code) == 0, [(t, p) for t, p in zip(LINES, code) if p]
+
+
+def test_no_length_changes_what_is_masked():
+    for n in (1, 100, 300, 5000):
+        assert langid.prose(f"<b {'x' * n}>Das Haus</b> {'y' * n}@z.org /{'p' * n}/q https://{'h' * n} `{'c' * n}`").split() == ["Das", "Haus"]
+    assert langid.prose("gut/schlecht und 3.5 Grad, siehe www.a.example/b und HTTP://c.example").split() == ["und", "3.5", "Grad,", "siehe", "und"]
+
+
 def test_fences_behind_block_tags(spark):
     rows = [(1, f"<p>```\n{CODE}\n```</p><p>{EN}</p>", None), (2, f"<p>```\n{CODE}\n```</p><p>{EN}</p><p>{IT}</p>", "en")]
     got = langid.label_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.seed_field()).collect()
