@@ -439,13 +439,13 @@ def fit(documents: list[list[Line]], steps: int = 60, rate: float = 0.25, decay:
     return Field(w, shape.astype("float32"), trans.astype("float32"), start.astype("float32"))
 
 
-_HEADS = ["# ", "## ", "- ", "* ", "> ", "1. ", "    ", "\t", "        ", "Note: ", "Error: ", "// "]
+_HEADS = ["# ", "## ", "- ", "* ", "> ", "1. ", "    ", "\t", "        ", "Note: ", "Error: "]
 _TAILS = [":", ";", ",", "", " ...", "!", " (2/3)", " {", "?"]
 
 
 def _made(by_language: dict[str, list[str]], code: list[list[str]], rng: np.random.Generator, mixed: int) -> list[list[Line]]:
     """Training documents: sentences alone, without accents, as headings, items and the like, and joined in a line (two to
-    four of them, and parts of one inside another); code in blocks, alone, indented, and next to prose."""
+    four of them, and parts of one inside another); code in blocks, alone, indented, with comments, and next to prose."""
     out: list[list[Line]] = []
     all_ = [(LANGUAGES.index(k), s) for k, v in by_language.items() for s in v if s.strip()]
     pick = lambda x: x[int(rng.integers(len(x)))]
@@ -475,9 +475,11 @@ def _made(by_language: dict[str, list[str]], code: list[list[str]], rng: np.rand
             row.append((s, c))
         out.append([row])
     for block in code:
-        for _ in range(2):
+        for turn in range(3):
             a = int(rng.integers(len(block)))
             part = block[a:a + int(rng.integers(1, 9))]
+            if turn == 2:  # with a comment in any language
+                part.insert(int(rng.integers(len(part) + 1)), pick(["// {}", "# {}", "-- {}", "/* {} */"]).format(pick(all_)[1].rstrip(" .。")))
             pad = pick(["", "", "    ", "\t", "  "])
             doc: list[Line] = [[(pad + x, NONE)] for x in part if x.strip()]
             if rng.random() < 0.3:

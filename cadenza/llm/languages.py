@@ -281,6 +281,18 @@ pip install requests
 chmod +x run.sh
 rm -rf build/
 npm run build -- --watch
+$ make -j4 install
+$ ./start.sh --verbose
+$ ./setup --user root --force
+$ tar -xzf archive.tar.gz
+$ python main.py --input data.csv
+ls -la /etc
+echo $USER
+mkdir -p out && mv file.txt out/
+ssh user@host -p 22
+find . -name "*.txt" -print
+kill -9 1234
+if (x > y) {
 >>> len(values)
 # start the service again
 export PATH=$PATH:/opt/bin
