@@ -13,8 +13,8 @@ from cadenza.session import table, written
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.pairs_of(table(spark, sf_dir, "predictions"))
-    return pairs.label_pairs(found, pairs.fit_on(found)[0])
+    predictions = table(spark, sf_dir, "predictions")
+    return pairs.label_pairs(pairs.pairs_of(predictions), pairs.fit_on(predictions)[0])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,20 @@ def test_pairs_of_rows(spark, model):
     got = {(r.prediction_id, r.at_second): r.defect for r in pairs.label_pairs(p, model[0]).collect()}
     assert got == {(1, 1): "empty", (1, 4): "empty", (1, 6): None, (4, 2): "empty"}
     assert pairs.label_pairs(p.limit(0), model[0]).count() == 0
+
+
+PROBES = [("Where is Paris and what is it?", "Paris is the capital of France and has two million inhabitants.", None), ("What do mitochondria do?", "The mitochondria produce energy for the cell.", None),
+          ("What was signed?", "Der Vertrag wurde nach langen Verhandlungen unterzeichnet.", "other_language"), ("What happened?", "Il contratto è stato firmato dopo lunghe trattative.", "other_language"), ("What?", "TBD", "empty"),
+          ("What is it?", "Photosynthesis turns light into sugar.", None), ("Who wrote it?", "Shakespeare wrote Hamlet around 1600.", None), ("How high is it?", "Mount Everest is 8,849 metres high.", None),
+          ("Can you help?", "I'm sorry, but I cannot assist with that.", "refusal"), ("Was ist das?", "Die Spree fließt durch Berlin und mündet in die Havel.", None), ("Was ist das?", "The Spree flows through Berlin.", "other_language"),
+          ("Explain inflation.", "Inflation means that prices rise over", "truncated"), ("Explain inflation.", "Inflation means that prices rise over time", None), ("Explain inflation.", "n/a", "empty"),
+          ("What is the capital of Peru?", "What is the capital of Peru?", "echo"), ("What is the capital of Peru?", "Lima", None), ("What is the capital of Peru?", "Quechua and Spanish are official languages in Peru.", None),
+          ("When was it signed?", "The treaty was signed in 1648 after lengthy", "truncated"), ("Who is this man?", "I would prefer not to say who that is.", "refusal"), ("Wie alt ist die Brücke?", "Das kann ich leider nicht beantworten.", "refusal")]
+
+
+def test_other_wordings(model):
+    """Replies in words that no training phrase has."""
+    got = model[0].label([q for q, _, _ in PROBES], [p for _, p, _ in PROBES])
+    wrong = [(p, d, g) for (_, p, d), g in zip(PROBES, got) if d != g]
+    assert len(wrong) <= 2, wrong
+    assert not any(g == "refusal" and d is None for _, d, g in wrong)
