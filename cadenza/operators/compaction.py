@@ -1,17 +1,17 @@
 """Consolidating tiny files: size-tiered incremental compaction with an idempotent journal.
 
-A store is a folder with three Parquet parts:
-
-* `journal`: one row per input of a transaction. action `merge`: input_id went into output_id at a level; action
-  `place`: the container input_id of an earlier run ended in output_id after all levels; action `duplicate`: input_id is
-  another copy of the clip that output_id stands for.
-* `data/container=...`: the bytes, one file per container.
-* `commits`: one row per container whose data was written in full. Only these count.
-
-Ids of outputs are made from their inputs, so a run that is repeated after a crash makes the same
-transactions, writes the same containers over the unfinished ones and appends the same rows; readers
-drop repeated rows. Planning moves metadata only; bytes move once, when a run's final containers are
-written.
+A store is a folder with four Parquet parts:
+
+* `journal`: the transactions. action `merge`: input_id went into output_id at a level; action `place`: the container
+  input_id of an earlier run ended in output_id after all levels; action `duplicate`: input_id is another copy of the
+  clip that output_id stands for, and was merged away with it.
+* `index`: one row per input file: the file that stands for its clip (kept_id) and the container this one came into.
+* `data/run=...`: the bytes, in files of about `file_bytes`; a file holds whole containers, named in a column.
+* `commits`: one row per container whose data was written in full, and one without a container that ends its run. A run
+  without commits never happened: readers skip its rows, and `vacuum` removes its files.
+
+Ids of outputs are made from their inputs, so a run that is repeated after a crash makes the same transactions again.
+Planning moves metadata only; bytes are read and written once, when a run's final containers are written.
 """
 
 from __future__ import annotations
@@ -19,28 +19,26 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.session import written
+from cadenza.session import dropped, written
 
-JOURNAL = T.StructType([
-    T.StructField("action", T.StringType()), T.StructField("level", T.IntegerType()),
-    T.StructField("input_id", T.StringType()), T.StructField("output_id", T.StringType()),
-    T.StructField("input_bytes", T.LongType()), T.StructField("run", T.StringType()),
-])
-COMMITS = T.StructType([
-    T.StructField("output_id", T.StringType()), T.StructField("level", T.IntegerType()),
-    T.StructField("n_records", T.LongType()), T.StructField("n_bytes", T.LongType()),
-])
+_S, _L = T.StringType(), T.LongType()
+JOURNAL = T.StructType([T.StructField("action", _S), T.StructField("level", T.IntegerType()), T.StructField("input_id", _S), T.StructField("output_id", _S),
+                        T.StructField("input_bytes", _L), T.StructField("run", _S)])
+INDEX = T.StructType([T.StructField("input_id", _S), T.StructField("kept_id", _S), T.StructField("key", _S), T.StructField("container", _S), T.StructField("input_bytes", _L), T.StructField("run", _S)])
+COMMITS = T.StructType([T.StructField("output_id", _S), T.StructField("level", T.IntegerType()), T.StructField("n_records", _L), T.StructField("n_bytes", _L), T.StructField("run", _S)])
+FILE = T.StructType([T.StructField("file_id", _S), T.StructField("key", _S), T.StructField("payload", T.BinaryType())])
 
 
 @dataclass(frozen=True)
 class Tiers:
     """Level L holds items of less than base * fan_in**(L+1) bytes; items of `target` bytes are left alone.
 
-    A window of the planner covers about `window_bytes` of a level's capacity and `window_rows` items.
+    A window of the planner holds about `window_groups` outputs of its level or `window_rows` items. Files of the data are
+    written with about `file_bytes` each, by as many tasks.
     """
 
     target_bytes: int = 64 << 20
@@ -48,6 +46,7 @@ class Tiers:
     base_bytes: int = 16 << 10
     window_groups: int = 64
     window_rows: int = 200_000
+    file_bytes: int = 256 << 20
 
     def cap(self, level: int) -> int:
         return min(self.target_bytes, self.base_bytes * self.fan_in ** (level + 1))
@@ -57,33 +56,61 @@ class Tiers:
         return max(1, math.ceil(math.log(self.target_bytes / self.base_bytes, self.fan_in)))
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _fs(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    fs, at = _fs(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def _ended(spark: SparkSession, store: str) -> DataFrame:
+    return _read(spark, f"{store}/commits", COMMITS).where("output_id is null").select("run").distinct()
 
 
 def journal(spark: SparkSession, store: str) -> DataFrame:
-    return _read(spark, f"{store}/journal", JOURNAL).dropDuplicates(["action", "input_id", "output_id"])
+    """The transactions of the runs that were committed."""
+    return _read(spark, f"{store}/journal", JOURNAL).join(_ended(spark, store), "run", "left_semi").dropDuplicates(["action", "input_id", "output_id"])
+
+
+def index(spark: SparkSession, store: str) -> DataFrame:
+    """Every file that the store has taken in: input_id, kept_id, key, container, input_bytes, run. A file whose kept_id is another
+    was merged away as a copy; its container is NULL if the other was in the store before."""
+    return _read(spark, f"{store}/index", INDEX).join(_ended(spark, store), "run", "left_semi").select(*INDEX.fieldNames())
 
 
 def commits(spark: SparkSession, store: str) -> DataFrame:
-    return _read(spark, f"{store}/commits", COMMITS).dropDuplicates(["output_id"])
+    return _read(spark, f"{store}/commits", COMMITS).where("output_id is not null").join(_ended(spark, store), "run", "left_semi").dropDuplicates(["output_id"])
 
 
 def live(spark: SparkSession, store: str) -> DataFrame:
     """Committed containers that no later committed one has taken in."""
-    done = commits(spark, store)
-    taken = (journal(spark, store).where("action = 'place'").join(done.select("output_id"), "output_id", "left_semi")
-             .select(F.col("input_id").alias("output_id")))
-    return done.join(taken, "output_id", "left_anti")
+    taken = journal(spark, store).where("action = 'place'").select(F.col("input_id").alias("output_id"))
+    return commits(spark, store).join(taken, "output_id", "left_anti").select(*COMMITS.fieldNames())
 
 
 def read_store(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
-    """All records of the live containers; `schema` is that of the data files."""
-    data = _read(spark, f"{store}/data", T.StructType([*schema.fields, T.StructField("container", T.StringType())]))
-    return data.join(live(spark, store).select(F.col("output_id").alias("container")), "container", "left_semi")
+    """All records of the live containers, with their container; `schema` is that of the data files."""
+    data = _read(spark, f"{store}/data", T.StructType([*schema.fields, T.StructField("container", _S), T.StructField("run", _S)]))
+    return data.join(live(spark, store).select(F.col("output_id").alias("container"), "run"), ["container", "run"], "left_semi").drop("run")
+
+
+def vacuum(spark: SparkSession, store: str) -> int:
+    """Delete the data of runs that hold no live container: superseded ones and those that crashed. Returns how many.
+
+    Safe to repeat. No run may be in progress. What a run holds beside live containers stays until those are merged too.
+    """
+    needed = {r["run"] for r in live(spark, store).select("run").distinct().collect()}  # one per run of the store
+    fs, at = _fs(spark, f"{store}/data")
+    n = 0
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        name = f.getPath().getName()
+        if name.startswith("run=") and name[4:] not in needed:
+            fs.delete(f.getPath(), True)
+            n += 1
+    return n
 
 
 def keep_first(files: DataFrame, *, file_id: str, key: str, time: str) -> DataFrame:
@@ -123,76 +150,96 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
     `files` holds intact files only: a string id, the key of what they contain, bytes and payload. Rows with a
     NULL key are stored under their own id. Files that the store holds, or has as duplicates, are left out;
     files whose key the store holds already are journalled as duplicates. Empty input makes no transaction.
+    The bytes that are written are counted against the plan before the run is committed.
     """
     spark = files.sparkSession
+    run = spark.range(1).select(F.expr("uuid()")).first()[0]
+    made_here: list[DataFrame] = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        made_here.append(written(df, label))
+        return made_here[-1]
+
+    def log(df: DataFrame, action: str, level) -> DataFrame:
+        return df.select(F.lit(action).alias("action"), level.cast("int").alias("level"), "input_id", "output_id", "input_bytes", F.lit(run).alias("run"))
+
     meta = files.select(F.col(file_id).alias("input_id"), F.coalesce(key, file_id).alias("key"),
                         F.col(size).cast("bigint").alias("bytes"), F.col(time).alias("at"))
     old_data = live(spark, store)
-    fields = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("key", T.StringType()),
-                           T.StructField("payload", T.BinaryType())])
     fresh = not old_data.take(1)
-    if not fresh:
-        have = read_store(spark, store, fields).select("key", F.col("file_id").alias("held"))
-        copies = journal(spark, store).where("action = 'duplicate'").join(have, F.col("output_id") == F.col("held"), "left_semi")
-        seen = have.select(F.col("held").alias("input_id")).unionByName(copies.select("input_id"))
-        meta = meta.join(seen, "input_id", "left_anti").join(have, "key", "left")
-    else:
+    if fresh:
         meta = meta.withColumn("held", F.lit(None).cast("string"))
-    meta = written(meta, "compact-meta")  # names are parsed once
-    first = written(keep_first(meta, file_id="input_id", key="key", time="at")
-                    .withColumn("kept_id", F.coalesce("held", "kept_id")), "compact-first")
-    run = spark.range(1).select(F.expr("uuid()")).first()[0]
-    (first.where("input_id <> kept_id")
-     .select(F.lit("duplicate").alias("action"), F.lit(-1).alias("level"), "input_id", F.col("kept_id").alias("output_id"),
-             F.col("bytes").alias("input_bytes"), F.lit(run).alias("run"))
-     .write.mode("append").parquet(f"{store}/journal"))
-
-    keep = first.where("input_id = kept_id").select(F.col("input_id").alias("item_id"), "bytes")
+    else:
+        before = index(spark, store)
+        meta = (meta.join(before.select("input_id"), "input_id", "left_anti")
+                .join(before.where("input_id = kept_id").select("key", F.col("input_id").alias("held")), "key", "left"))
+    meta = kept(meta, "compact-meta")  # names are parsed once
+    first = kept(keep_first(meta, file_id="input_id", key="key", time="at")
+                 .select("input_id", F.coalesce("held", "kept_id").alias("kept_id"), "key", "bytes"), "compact-first")
+    waiting = first.where("input_id = kept_id").select(F.col("input_id").alias("item_id"), "bytes")
     # Files enter at level 0; containers of earlier runs join at the level of their size.
     old = old_data.where(F.col("n_bytes") < tiers.target_bytes).select(F.col("output_id").alias("item_id"), F.col("n_bytes").alias("bytes"))
-    waiting, where = keep, keep.select(F.col("item_id").alias("src"), F.col("item_id").alias("at_id"))
-    old_where = old.select(F.col("item_id").alias("src"), F.col("item_id").alias("at_id"))
+    merges = []
     for level in range(tiers.levels):
         fits = F.col("bytes") < tiers.cap(level)
         low = 0 if level == 0 else tiers.cap(level - 1)
         joins = old.where(fits & (F.col("bytes") >= low)) if not fresh else None
         items = waiting.where(fits) if joins is None else waiting.where(fits).unionByName(joins)
-        plan = written(plan_level(items, level, tiers), f"compact-plan{level}")
-        (plan.where("output_id is not null")
-         .select(F.lit("merge").alias("action"), F.lit(level).alias("level"), F.col("item_id").alias("input_id"),
-                 "output_id", F.col("bytes").alias("input_bytes"), F.lit(run).alias("run"))
-         .write.mode("append").parquet(f"{store}/journal"))
-        merged = plan.where("output_id is not null").groupBy(F.col("output_id").alias("item_id")).agg(F.sum("bytes").alias("bytes"))
-        rest = plan.where("output_id is null").select("item_id", "bytes").unionByName(waiting.where(~fits))
+        plan = kept(plan_level(items, level, tiers), f"compact-plan{level}")
+        merges.append(plan.where("output_id is not null"))
+        merged = merges[-1].groupBy(F.col("output_id").alias("item_id")).agg(F.sum("bytes").alias("bytes"))
+        rest = plan.where("output_id is null").select("item_id", "bytes")
         if joins is not None:  # an old container that found no partner stays what it is
             rest = rest.join(old, "item_id", "left_anti")
-        waiting = written(merged.unionByName(rest), f"compact-wait{level}")
-        step = plan.where("output_id is not null").select(F.col("item_id").alias("at_id"), F.col("output_id").alias("to_id"))
-        move = lambda w, step=step: w.join(step, "at_id", "left").select("src", F.coalesce("to_id", "at_id").alias("at_id"))
-        where = written(move(where), f"compact-where{level}")
-        old_where = move(old_where) if not fresh else old_where
+        waiting = merged.unionByName(rest).unionByName(waiting.where(~fits))
+
+    def follow(df: DataFrame) -> DataFrame:
+        """Where each `src` ends after all levels."""
+        df = df.withColumn("at_id", F.col("src"))
+        for plan in merges:
+            df = df.join(plan.select(F.col("item_id").alias("at_id"), F.col("output_id").alias("to_id")), "at_id", "left").select(
+                *[c for c in df.columns if c != "at_id"], F.coalesce("to_id", "at_id").alias("at_id"))
+        return df
+
     # A file that met no other becomes a container of its own.
-    alone = where.where("src = at_id").select(
-        F.lit("merge").alias("action"), F.lit(0).alias("level"), F.col("src").alias("input_id"),
-        F.concat(F.lit("L0-"), F.sha2("src", 256)).alias("output_id"), F.lit(None).cast("bigint").alias("input_bytes"), F.lit(run).alias("run"))
-    alone.write.mode("append").parquet(f"{store}/journal")
-    where = where.withColumn("at_id", F.when(F.col("src") == F.col("at_id"), F.concat(F.lit("L0-"), F.sha2("src", 256))).otherwise(F.col("at_id")))
-
-    body = files.select(F.col(file_id).alias("file_id"), F.coalesce(key, file_id).alias("key"), F.col(payload).alias("payload"))
-    out = body.join(where, F.col("file_id") == F.col("src")).select("file_id", "key", "payload", F.col("at_id").alias("container"))
-    if not fresh:
-        moved = old_where.where("src <> at_id")
-        out = out.unionByName(read_store(spark, store, fields).join(moved, F.col("container") == F.col("src"))
-                              .select("file_id", "key", "payload", F.col("at_id").alias("container")))
-        (moved.select(F.lit("place").alias("action"), F.lit(-1).alias("level"), F.col("src").alias("input_id"), F.col("at_id").alias("output_id"),
-                      F.lit(None).cast("bigint").alias("input_bytes"), F.lit(run).alias("run")).write.mode("append").parquet(f"{store}/journal"))
-    n_out = max(1, waiting.count())
-    (out.repartition(n_out, "container").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("container").parquet(f"{store}/data"))
-    made = (where.select("at_id") if fresh else where.select("at_id").unionByName(old_where.where("src <> at_id").select("at_id"))).distinct()
-    data = _read(spark, f"{store}/data", T.StructType([*fields.fields, T.StructField("container", T.StringType())]))
-    (data.join(made, F.col("container") == F.col("at_id"), "left_semi").groupBy(F.col("container").alias("output_id"))
-     .agg(F.regexp_extract(F.first("container"), r"^L(\d+)-", 1).cast("int").alias("level"),
-          F.count(F.lit(1)).alias("n_records"), F.sum(F.length("payload")).cast("bigint").alias("n_bytes"))
-     .write.mode("append").parquet(f"{store}/commits"))
+    alone = F.col("src") == F.col("at_id")
+    own = F.concat(F.lit("L0-"), F.sha2("src", 256))
+    where = kept(follow(first.where("input_id = kept_id").select(F.col("input_id").alias("src"), "key", "bytes"))
+                 .select("src", "key", "bytes", F.when(alone, own).otherwise(F.col("at_id")).alias("container"), alone.alias("alone")), "compact-where")
+    moved = kept(follow(old.select(F.col("item_id").alias("src"))).where("src <> at_id"), "compact-moved") if not fresh else None
+
+    steps = [log(p.select(F.col("item_id").alias("input_id"), "output_id", F.col("bytes").alias("input_bytes")), "merge", F.lit(i)) for i, p in enumerate(merges)]
+    steps.append(log(where.where("alone").select(F.col("src").alias("input_id"), F.col("container").alias("output_id"), F.col("bytes").alias("input_bytes")), "merge", F.lit(0)))
+    steps.append(log(first.where("input_id <> kept_id").select("input_id", F.col("kept_id").alias("output_id"), F.col("bytes").alias("input_bytes")), "duplicate", F.lit(-1)))
+    if moved is not None:
+        steps.append(log(moved.select(F.col("src").alias("input_id"), F.col("at_id").alias("output_id"), F.lit(None).cast("bigint").alias("input_bytes")), "place", F.lit(-1)))
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    out.write.mode("append").parquet(f"{store}/journal")
+    (first.join(where.select(F.col("src").alias("kept_id"), "container"), "kept_id", "left")
+     .select("input_id", "kept_id", "key", "container", F.col("bytes").alias("input_bytes"), F.lit(run).alias("run"))
+     .write.mode("append").parquet(f"{store}/index"))
+
+    made = where.groupBy(F.col("container").alias("output_id")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("bytes").alias("n_bytes"))
+    body = (files.select(F.col(file_id).alias("file_id"), F.col(payload).alias("payload")).join(where.select(F.col("src").alias("file_id"), "key", "container"), "file_id")
+            .select("file_id", "key", "payload", "container"))
+    if moved is not None:
+        took = moved.join(commits(spark, store).select(F.col("output_id").alias("src"), "n_records", "n_bytes"), "src")
+        made = made.unionByName(took.select(F.col("at_id").alias("output_id"), "n_records", "n_bytes")).groupBy("output_id").agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
+        body = body.unionByName(read_store(spark, store, FILE).join(moved, F.col("container") == F.col("src")).select("file_id", "key", "payload", F.col("at_id").alias("container")))
+    made = kept(made, "compact-made")
+    n_records, n_bytes = made.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    if n_records:
+        seen = Observation()
+        tasks = max(1, math.ceil(n_bytes / tiers.file_bytes))
+        (body.observe(seen, F.count(F.lit(1)).alias("n")).repartition(tasks, "container").sortWithinPartitions("container")
+         .write.mode("overwrite").parquet(f"{store}/data/run={run}"))
+        if seen.get["n"] != n_records:
+            raise RuntimeError(f"{seen.get['n']} records written where {n_records} were planned; the run is not committed")
+    end = spark.createDataFrame([(None, None, 0, 0, run)], COMMITS)
+    (made.select("output_id", F.regexp_extract("output_id", r"^L(\d+)-", 1).cast("int").alias("level"), "n_records", "n_bytes", F.lit(run).alias("run"))
+     .unionByName(end).write.mode("append").parquet(f"{store}/commits"))
+    for df in made_here:
+        dropped(df)
     return run

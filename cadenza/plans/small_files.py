@@ -25,13 +25,22 @@ def store_of(spark: SparkSession, sf_dir: str) -> str:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (compaction.journal(spark, store_of(spark, sf_dir)).where("action = 'duplicate'")
+    """Files that the committed run merged away: those the index shows in the container of another copy of their clip."""
+    return (compaction.index(spark, store_of(spark, sf_dir)).where("input_id <> kept_id and container is not null")
             .select(F.col("input_id").cast("bigint").alias("chunk_id")))
 
 
 def p3_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containers written: records and bytes of each."""
-    return compaction.live(spark, store_of(spark, sf_dir))
+    return compaction.live(spark, store_of(spark, sf_dir)).drop("run")
+
+
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All containers together, beside the files they were made of."""
+    store = store_of(spark, sf_dir)
+    held = compaction.live(spark, store).agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.every(F.col("n_bytes") <= 2 * compaction.Tiers().target_bytes).alias("none_too_large"))
+    taken = compaction.index(spark, store).agg(F.count(F.lit(1)).alias("n_inputs"), F.sum("input_bytes").alias("input_bytes"))
+    return held.select("*", *[taken.select(c).scalar().alias(c) for c in taken.columns])
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +59,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY written_at, chunk_
 
 SQL = {
     "p3_found": _CLIPS + "SELECT chunk_id FROM r WHERE n > 1",
+    "p3_totals": _CLIPS + """SELECT count(CASE WHEN n = 1 THEN 1 END) n_records, CAST(sum(CASE WHEN n = 1 THEN n_bytes END) AS BIGINT) n_bytes, TRUE none_too_large,
+        count(*) n_inputs, CAST(sum(n_bytes) AS BIGINT) input_bytes FROM r""",
     "p3_records": _CLIPS + "SELECT chunk_id, octet_length(payload) stored_bytes, md5(payload) digest FROM r WHERE n = 1",
 }
-QUERIES = {"p3_found": p3_found, "p3_containers": p3_containers, "p3_records": p3_records}
+QUERIES = {"p3_found": p3_found, "p3_containers": p3_containers, "p3_totals": p3_totals, "p3_records": p3_records}

@@ -46,7 +46,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read back: the lineage ends at files that outlive executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cadenza_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that `written` made; nothing that reads it may be run any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._cadenza_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(spark: SparkSession, rows: list[tuple], schema: str, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -90,6 +90,27 @@ def test_compaction(spark, tmp_path):
     assert {r.input_id for r in compaction.journal(spark, store).where("action = 'duplicate' and input_id like 'g%'").collect()} == {i for i, c, *_ in more if c == "hot"}
 
 
+def test_runs_without_commit_never_happened(spark, tmp_path):
+    tiers = compaction.Tiers(target_bytes=4000, fan_in=4, base_bytes=60, file_bytes=2000)
+    rows = [(f"f{i}", f"c{i % 90}", 20, i, bytes([i % 250]) * 20, "x") for i in range(100)]
+    store = str(tmp_path / "store")
+    run(files(spark, rows), store, tiers)
+    had = stored(spark, store)
+    assert len(had) == 90 and {r.input_id for r in compaction.index(spark, store).where("input_id <> kept_id").collect()} == {f"f{i}" for i in range(90, 100)}
+    more = [(f"g{i}", f"d{i}", 20, i, b"z" * 20, "x") for i in range(30)]
+    spark.createDataFrame([("duplicate", -1, "g1", "f1", 20, "lost")], compaction.JOURNAL).write.mode("append").parquet(f"{store}/journal")
+    spark.createDataFrame([("g1", "f1", "d1", None, 20, "lost")], compaction.INDEX).write.mode("append").parquet(f"{store}/index")
+    spark.createDataFrame([("f1", "c1", b"half", "L0-1-1")], "file_id string, key string, payload binary, container string").write.parquet(f"{store}/data/run=lost")
+    assert stored(spark, store) == had and compaction.journal(spark, store).where("run = 'lost'").count() == 0
+    assert compaction.vacuum(spark, store) == 1 and compaction.vacuum(spark, store) == 0
+    run(files(spark, rows + more), store, tiers)
+    now = stored(spark, store)
+    assert now == had | {i: p for i, _, _, _, p, _ in more}
+    compaction.vacuum(spark, store)
+    assert stored(spark, store) == now
+    assert len(list((tmp_path / "store" / "data").glob("run=*"))) <= 2
+
+
 def test_compaction_of_nothing(spark, tmp_path):
     run(files(spark, []), str(tmp_path / "s"), compaction.Tiers())
     assert stored(spark, str(tmp_path / "s")) == {}
