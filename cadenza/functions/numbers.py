@@ -37,9 +37,10 @@ def chunk_count(seconds: Column, chunk: int) -> Column:
     return F.when(seconds > 0, F.ceil(seconds / F.lit(chunk))).otherwise(F.lit(0)).cast("int")
 
 
-def tail_seconds(key: Column, low: int = 10, high: int = 15, seed: int = 0) -> Column:
-    """Trailing seconds between low and high, fixed by key and seed; a NULL key draws as 0."""
-    return F.lit(low) + F.pmod(F.coalesce(key, F.lit(0)) * 7 + seed, F.lit(high - low + 1)).cast("int")
+def tail_seconds(key: Column, low: int = 10, high: int = 15, seed: int = 0, text: bool = False) -> Column:
+    """Trailing seconds between low and high, fixed by key and seed; a NULL key draws as 0. Text keys draw by their hash."""
+    draw = F.xxhash64(key, F.lit(seed)) if text else F.coalesce(key, F.lit(0)) * 7 + seed
+    return F.lit(low) + F.pmod(draw, F.lit(high - low + 1)).cast("int")
 
 
 def mean_1(x: Column) -> Column:

@@ -20,7 +20,7 @@ def basename(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """Base name without its last extension."""
-    return F.regexp_replace(basename(path), r"(?<=.)\.[^.\s]{1,8}$", "")
+    return F.regexp_replace(basename(path), r"(?<=[^.])\.[^.]*$", "")
 
 
 def _bare(path: Column) -> Column:

@@ -12,8 +12,8 @@ from cadenza.operators.turns import computed, question, stream_frames
 
 
 def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str, ...] = PLACEHOLDERS_STREAM,
-           judge=None) -> DataFrame:
-    """One row per event: key, scene_type, question, i, timestamp, answer, response, category, score, explanation.
+           judge=None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per event: key, carried columns, scene_type, question, i, timestamp, answer, response, category, score, explanation.
 
     A talking pred that greedy matching pairs with a talking reference within the band is PartlyCorrect, judged
     against that reference (without a judge: `Error (no LLM)`, score 0). An unpaired one with a talking reference in
@@ -21,14 +21,14 @@ def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str,
     one it gives no row if that reference is paired, else NoResponse. `judge` maps (question, response, answer)
     columns to a struct of score 0..5 and explanation. NULL conversations give no rows; a NULL type is `unknown`.
     """
-    d = computed(df.select(key, "type", "conversations"), "f", stream_frames(placeholders)).select(
-        F.col(key), F.coalesce("type", F.lit("unknown")).alias("scene_type"), F.coalesce(question(), F.lit("")).alias("question"), "f")
-    d = computed(computed(d, "cand", greedy.candidates("f", width)), "m", greedy.matched("cand"))
+    d = computed(df.select(key, *carry, "type", "conversations"), "f", stream_frames(placeholders)).select(
+        F.col(key), *carry, F.coalesce("type", F.lit("unknown")).alias("scene_type"), F.coalesce(question(), F.lit("")).alias("question"), "f")
+    d = computed(greedy.with_candidates(d, "f", width), "m", greedy.matched("cand"))
     d = (d.withColumn("of_pred", F.expr("map_from_entries(transform(m, x -> struct(x.i, x.j)))"))
          .withColumn("in_band", F.expr("array_distinct(transform(cand, x -> x.i))"))
          .withColumn("answered", F.expr("transform(m, x -> x.j)")))
-    e = d.select(key, "scene_type", "question", "f", "of_pred", "in_band", "answered", F.explode("f").alias("x")).select(
-        key, "scene_type", "question", F.col("x.i").alias("i"), F.col("x.ts").alias("timestamp"), F.col("x.pred").alias("response"),
+    e = d.select(key, *carry, "scene_type", "question", "f", "of_pred", "in_band", "answered", F.explode("f").alias("x")).select(
+        key, *carry, "scene_type", "question", F.col("x.i").alias("i"), F.col("x.ts").alias("timestamp"), F.col("x.pred").alias("response"),
         F.col("x.gt").alias("gt"), F.col("x.pred_silent").alias("ps"), F.col("x.gt_silent").alias("gs"),
         F.expr("f[of_pred[x.i]].gt").alias("paired"), F.expr("map_contains_key(of_pred, x.i)").alias("is_paired"),
         F.expr("array_contains(in_band, x.i)").alias("near"), F.expr("array_contains(answered, x.i)").alias("met"))
@@ -41,7 +41,7 @@ def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str,
     verdict = judge(F.col("question"), F.col("response"), F.col("answer")) if judge else F.lit(None).cast("struct<score:double,explanation:string>")
     e = e.withColumn("v", F.when(F.col("category") == "PartlyCorrect", verdict))
     score = F.when(F.col("category") == "CorrectSilent", F.lit(100.0)).when(F.col("category") == "PartlyCorrect", judge_points(F.col("v.score"))).otherwise(F.lit(0.0))
-    return e.select(key, "scene_type", "question", "i", "timestamp", "answer", "response", "category", score.alias("score"),
+    return e.select(key, *carry, "scene_type", "question", "i", "timestamp", "answer", "response", "category", score.alias("score"),
                     F.coalesce("v.explanation", F.lit("")).alias("explanation"))
 
 

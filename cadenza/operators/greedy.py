@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.once import computed
+
 
 def band_pairs(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """(key, i, j, dt) of rows of one key at most `width` apart, both ends included.
@@ -26,11 +28,23 @@ def band_pairs(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
 
 def candidates(frames: str, width: float) -> Column:
     """Within a row: ARRAY<STRUCT<dt, i, j>> of talking preds i and talking references j in the band, nearest first."""
-    return F.expr(f"""array_sort(flatten(transform(filter({frames}, p -> not p.pred_silent), p ->
-        transform(filter({frames}, g -> not g.gt_silent and abs(p.ts - g.ts) <= {float(width)!r}D),
+    return _pairs(f"filter({frames}, x -> not x.pred_silent)", f"filter({frames}, x -> not x.gt_silent)", width)
+
+
+def _pairs(preds: str, refs: str, width: float) -> Column:
+    return F.expr(f"""array_sort(flatten(transform({preds}, p ->
+        transform(filter({refs}, g -> abs(p.ts - g.ts) <= {float(width)!r}D),
                   g -> named_struct('dt', abs(p.ts - g.ts), 'i', p.i, 'j', g.i)))))""")
 
 
+def with_candidates(df: DataFrame, frames: str, width: float, name: str = "cand") -> DataFrame:
+    """Adds the candidates of a row's frames. The talking frames of both sides are picked out once, so the work is the product of
+    their numbers, whatever the number of silent seconds."""
+    short = lambda keep: F.expr(f"transform(filter({frames}, x -> not x.{keep}), x -> named_struct('ts', x.ts, 'i', x.i))")
+    d = computed(computed(df, "_preds", short("pred_silent")), "_refs", short("gt_silent"))
+    return computed(d, name, _pairs("_preds", "_refs", width)).drop("_preds", "_refs")
+
+
 def matched(cand: str) -> Column:
     """Within a row: the pairs that greedy nearest-first matching takes from sorted candidates; each i and j at most once."""
     return F.expr(f"""aggregate({cand}, cast(array() as array<struct<dt: double, i: int, j: int>>),

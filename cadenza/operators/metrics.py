@@ -36,9 +36,9 @@ def prf(match: DataFrame, key: str, fps: float = 1.0, hit: float = 0.5) -> DataF
     return a.select(key, *_METRICS)
 
 
-def macro(per_key: DataFrame) -> DataFrame:
-    """One row: the mean over keys of every metric; NULLs for no keys."""
-    return per_key.agg(*[F.avg(n).alias(f"avg_{n}") for n in _METRICS], F.count(F.lit(1)).alias("n_keys"))
+def macro(per_key: DataFrame, *by: str) -> DataFrame:
+    """One row (or one for each of `by`): the mean over keys of every metric; NULLs for no keys."""
+    return per_key.groupBy(*by).agg(*[F.avg(n).alias(f"avg_{n}") for n in _METRICS], F.count(F.lit(1)).alias("n_keys"))
 
 
 def distribution(events: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import chunk_count, tail_seconds
+from cadenza.functions.once import computed
 from cadenza.functions.paths import basename, clip_key, stem, with_clip, with_interval
 
 _ASKS = "filter(conversations, c -> c.from = 'user' and c.value is distinct from '<video>' and c.timestamp is not null)"
@@ -33,7 +34,7 @@ def spans(sessions: DataFrame, key: str, *carry: str, low: int = 10, high: int =
         b = b.join(known, F.col("_file") == F.col("video"), "left").drop("video", "_file")
     else:
         b = bounds(sessions, key, *carry).withColumn("duration", F.lit(None).cast("double"))
-    tail = tail_seconds(F.col(key), low, high, seed)
+    tail = tail_seconds(F.col(key), low, high, seed, sessions.schema[key].dataType.simpleString() == "string")
     cut = F.when(F.col("duration") > 0, F.least(tail, F.greatest(F.lit(0), F.col("duration").cast("int") - F.col("last_t")))).otherwise(tail)
     return b.withColumn("end_t", F.col("last_t") + cut).where("start_t <= end_t").select(key, *carry, "start_t", "end_t", "says")
 
@@ -63,17 +64,27 @@ def window_items(conv: str = "conversations", t: str = "t", window: int = 60, ch
     The turns are walked in their order: one whose second lies in the window beyond what is covered is preceded by chunks
     up to it; the rest of the window follows at the end. A chunk before a turn may be shorter than `chunk`.
     """
-    grid = f"""if(a < b, transform(sequence(a, b - 1, {chunk}), s -> named_struct('kind', 'video', 'start', s, 'end', least(s + {chunk}, b), 'pos', cast(null as int))),
-        cast(array() as array<struct<kind: string, start: int, end: int, pos: int>>))"""
-    cover = lambda a, b: f"(transform(array(named_struct('a', {a}, 'b', {b})), q -> {grid.replace('a < b', 'q.a < q.b').replace('sequence(a, b - 1', 'sequence(q.a, q.b - 1').replace(', b)', ', q.b)')}))[0]"
+    item = "struct<kind: string, start: int, end: int, pos: int>"
+    grid = lambda a, b: (f"if({a} < {b}, transform(sequence({a}, greatest({a}, {b} - 1), {chunk}), s -> named_struct('kind', 'video', 'start', s, 'end', least(s + {chunk}, {b}), "
+                         f"'pos', cast(null as int))), cast(array() as array<{item}>))")
     lo = f"greatest(0, {t} - {window})"
-    empty = "cast(array() as array<struct<kind: string, start: int, end: int, pos: int>>)"
-    kept = f"transform(filter(transform({conv}, (c, k) -> struct(cast(c.timestamp as int) as s, k as k)), x -> x.s is null or x.s <= {t}), x -> x)"
-    step = f"""named_struct('prev', if(x.s >= {lo} and x.s > acc.prev, x.s, acc.prev),
-        'items', concat(acc.items, if(x.s >= {lo} and x.s > acc.prev, {cover('acc.prev', 'x.s')}, {empty}),
-                        array(named_struct('kind', 'turn', 'start', x.s, 'end', x.s, 'pos', x.k))))"""
-    return F.expr(f"""aggregate({kept}, named_struct('prev', {lo}, 'items', {empty}), (acc, x) -> {step},
-        acc -> concat(acc.items, {cover('acc.prev', t)}))""")
+    kept = f"filter(transform({conv}, (c, k) -> named_struct('s', cast(c.timestamp as int), 'k', k)), x -> x.s is null or x.s <= {t})"
+    # how far the chunks reach before and at each turn; what is carried along is the turns only, the chunks are laid between them at the end
+    walk = f"""aggregate({kept}, cast(array() as array<struct<a: int, b: int, s: int, k: int>>), (acc, x) -> array_append(acc, named_struct(
+        'a', if(size(acc) = 0, {lo}, acc[size(acc) - 1].b), 'b', greatest(if(size(acc) = 0, {lo}, acc[size(acc) - 1].b), coalesce(x.s, 0)), 's', x.s, 'k', x.k)),
+        acc -> array_append(acc, named_struct('a', if(size(acc) = 0, {lo}, acc[size(acc) - 1].b), 'b', greatest({t}, if(size(acc) = 0, {lo}, acc[size(acc) - 1].b)), 's', cast(null as int), 'k', -1)))"""
+    return F.expr(f"""flatten(transform({walk}, w -> concat({grid('w.a', 'w.b')}, if(w.k < 0, cast(array() as array<{item}>),
+        array(named_struct('kind', 'turn', 'start', w.s, 'end', w.s, 'pos', w.k))))))""")
+
+
+def window_chunks(conv: str = "conversations", t: str = "t", window: int = 60, chunk: int = 1) -> Column:
+    """The chunks of `window_items`: ARRAY<STRUCT<start, end>>. Turns lie on whole seconds, so one-second chunks are not cut
+    by them and follow from t alone; longer ones need the walk over the turns."""
+    if chunk == 1:
+        lo = f"greatest(0, {t} - {window})"
+        return F.expr(f"""if({t} > {lo}, transform(sequence({lo}, greatest({lo}, {t} - 1)), s -> named_struct('start', s, 'end', s + 1)),
+            cast(array() as array<struct<start: int, end: int>>))""")
+    return F.transform(F.filter(window_items(conv, t, window, chunk), lambda x: x["kind"] == "video"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def dense_chunks(durations: DataFrame, chunk: int = 1) -> DataFrame:
@@ -83,6 +94,42 @@ def dense_chunks(durations: DataFrame, chunk: int = 1) -> DataFrame:
             .select("video", (F.col("k") * chunk).alias("start"), ((F.col("k") + 1) * chunk).alias("end")))
 
 
+def with_session(annotations: DataFrame, name: str = "session") -> DataFrame:
+    """Adds the key of a session as text: the stem of its first video, else its video_id, else its session_id or its file's name.
+    Blank names count as missing; what has none of them gets a NULL key."""
+    known = annotations.columns
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    names = [full(stem(F.try_element_at("videos", F.lit(1)))), full(F.col("video_id"))]
+    names += [F.col("session_id").cast("string")] if "session_id" in known else []
+    names += [full(stem(F.col("file")))] if "file" in known else []
+    return annotations.withColumn(name, F.coalesce(*names))
+
+
+def assembled(sessions: DataFrame, key: str, *carry: str, system: str = "", window: int = 60, chunk: int = 1, **span) -> DataFrame:
+    """One sample per sampled second, as a model is asked: key, carried columns, endpoint_timestamp, sample_type, conversations
+    and videos.
+
+    A conversation is the system turn (if `system` is not empty), the turns up to the second in their order with a `<video>`
+    turn for each chunk of the window where it falls between them, and the target at the end: the answers of the second
+    stand there already, else a `Silent` turn is added. `videos` has the clips of the `<video>` turns in their order. A
+    session without videos has turns only.
+    """
+    s = seconds(sessions, key, *dict.fromkeys([*carry, "videos", "conversations"]), step=chunk, **span)
+    s = computed(s, "_items", window_items(window=window, chunk=chunk))
+    s = s.withColumn("_items", F.when(F.size("videos") > 0, F.col("_items")).otherwise(F.filter("_items", lambda x: x["kind"] == "turn")))
+    path = F.try_element_at("videos", F.lit(1))
+    none = F.lit(None).cast("double")
+    turn = lambda who, what, when: F.struct(F.lit(who).alias("from"), what.cast("string").alias("value"), when.alias("timestamp"))
+    said = F.transform("_items", lambda x: F.when(x["kind"] == "video", turn("user", F.lit("<video>"), none)).otherwise(
+        F.struct(F.get("conversations", x["pos"])["from"].alias("from"), F.get("conversations", x["pos"])["value"].alias("value"), F.get("conversations", x["pos"])["timestamp"].alias("timestamp"))))
+    head = F.array(turn("system", F.lit(system), none)) if system else F.array().cast("array<struct<`from`: string, value: string, timestamp: double>>")
+    tail = F.when(F.col("sample_type") == 2, F.array(turn("assistant", F.lit("Silent"), F.col("t").cast("double")))).otherwise(
+        F.array().cast("array<struct<`from`: string, value: string, timestamp: double>>"))
+    clips = F.transform(F.filter("_items", lambda x: x["kind"] == "video"), lambda x: chunk_path(path, x["start"], x["end"]))
+    return s.select(key, *[c for c in carry if c not in ("videos", "conversations")], F.col("t").alias("endpoint_timestamp"), "sample_type",
+                    F.concat(head, said, tail).alias("conversations"), clips.alias("videos"))
+
+
 def chunk_path(path: Column, start: Column, end: Column) -> Column:
     return with_interval(path, start, end)
 

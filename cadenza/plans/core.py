@@ -217,11 +217,37 @@ def per_second_samples(spark, sf_dir):
 def rolling_chunks(spark, sf_dir):
     """W1, JN2, ST4: the chunks of each second's rolling window."""
     s = sampling.seconds(table(spark, sf_dir, "annotations"), "session_id", "videos", "conversations", durations=table(spark, sf_dir, "durations"))
-    v = s.where("t > 0").withColumn("v", F.filter(sampling.window_items(), lambda x: x["kind"] == "video"))
-    return v.where("size(v) > 0").select("session_id", "t", F.size("v").cast("bigint").alias("n_chunks"), F.array_min(F.transform("v", lambda x: x["start"])).alias("first_start"),
+    v = s.where("t > 0").withColumn("v", sampling.window_chunks())
+    return v.where("size(v) > 0").select("session_id", "t", F.size("v").cast("bigint").alias("n_chunks"), F.array_min("v")["start"].alias("first_start"),
                                          F.array_max(F.transform("v", lambda x: x["end"])).alias("last_end"))
 
 
+_ASSEMBLED = f"""{_SECONDS}, tu AS (SELECT se.rid, se.session_id, se.t, h.pos, h.role, h.value, h.videos,
+        greatest(0, se.t - 60, max(coalesce(CAST(trunc(h.ts) AS INTEGER), 0)) OVER (PARTITION BY se.rid, se.t ORDER BY h.pos)) AS m
+        FROM se JOIN turns h ON h.rid = se.rid AND (h.ts IS NULL OR trunc(h.ts) <= se.t)),
+    clip AS (SELECT rid, session_id, t, unnest(generate_series(greatest(0, t - 60), t - 1)) AS s FROM se WHERE t > 0 AND rid IN (SELECT rid FROM turns WHERE len(videos) > 0)),
+    it AS (SELECT rid, session_id, t, m AS k1, 1 AS k2, pos AS k3, role, value FROM tu UNION ALL SELECT rid, session_id, t, s + 1, 0, 0, 'user', '<video>' FROM clip
+        UNION ALL SELECT rid, session_id, t, -1, 0, 0, 'system', 'watch' FROM se
+        UNION ALL SELECT rid, session_id, t, t, 2, 0, 'assistant', 'Silent' FROM se WHERE NOT EXISTS (SELECT 1 FROM turns a WHERE a.rid = se.rid AND a.role = 'assistant' AND trunc(a.ts) = se.t))"""
+
+
+@query(f"""WITH {_ASSEMBLED} SELECT session_id, t, count(*) AS n_items, md5(string_agg(role || ':' || coalesce(value, '<null>'), '|' ORDER BY k1, k2, k3)) AS digest FROM it GROUP BY rid, session_id, t""")
+def assembled_samples(spark, sf_dir):
+    """A3, W1, ST2: every sample as a model is asked, its system turn, turns and <video> turns in their order, and its target (as digest)."""
+    s = sampling.assembled(table(spark, sf_dir, "annotations"), "session_id", system="watch", durations=table(spark, sf_dir, "durations"))
+    text = F.array_join(F.transform("conversations", lambda c: F.concat(c["from"], F.lit(":"), F.coalesce(c["value"], F.lit("<null>")))), "|")
+    return s.select("session_id", F.col("endpoint_timestamp").alias("t"), F.size("conversations").cast("bigint").alias("n_items"), F.md5(text).alias("digest"))
+
+
+@query(f"""WITH {_ASSEMBLED}, v AS (SELECT DISTINCT rid, videos[1] AS p FROM turns) SELECT c.session_id, c.t, count(*) AS n_clips,
+        md5(string_agg(regexp_replace(p, '(\\.[^./\\\\]*)?$', '') || '_' || s || '_' || (s + 1) || regexp_extract(p, '(\\.[^./\\\\]*)?$'), '|' ORDER BY s)) AS digest
+    FROM clip c JOIN v ON v.rid = c.rid GROUP BY c.rid, c.session_id, c.t""")
+def assembled_clips(spark, sf_dir):
+    """The clips that belong to the <video> turns, in their order (as digest)."""
+    s = sampling.assembled(table(spark, sf_dir, "annotations"), "session_id", durations=table(spark, sf_dir, "durations")).where("size(videos) > 0")
+    return s.select("session_id", F.col("endpoint_timestamp").alias("t"), F.size("videos").cast("bigint").alias("n_clips"), F.md5(F.array_join("videos", "|")).alias("digest"))
+
+
 @query("""WITH k AS (SELECT video, unnest(generate_series(0, CAST(ceil(seconds) AS INTEGER) - 1)) AS k FROM durations WHERE seconds > 0) SELECT video, k AS "start", k + 1 AS "end" FROM k""")
 def dense_chunks(spark, sf_dir):
     """W2, M6, ST5: the grid of one-second chunks of every probed video."""
@@ -452,7 +478,7 @@ def band_pairs(spark, sf_dir):
 def greedy_pairs(spark, sf_dir):
     """AS6, W7: greedy nearest-first matching of talking preds and references."""
     f = computed(_predictions(spark, sf_dir), "f", stream_frames(silence.PLACEHOLDERS_STREAM)).select("prediction_id", "f")
-    f = computed(f, "cand", greedy.candidates("f", 2.0))
+    f = greedy.with_candidates(f, "f", 2.0)
     return f.select("prediction_id", F.explode(greedy.matched("cand")).alias("x")).select("prediction_id", "x.i", "x.j")
 
 
@@ -488,6 +514,14 @@ def scene_scores(spark, sf_dir):
     return metrics.final_score(_events(spark, sf_dir), "scene_type")
 
 
+@query(f"""WITH RECURSIVE {_EVENTS}, md AS (SELECT prediction_id AS k, gen_args.model AS model FROM predictions) SELECT model, count(*) AS n_events, avg(score) AS mean_score, round_even(avg(score) * 10, 0) / 10 AS final_score
+    FROM ev JOIN md ON md.k = ev.k GROUP BY model""")
+def scores_per_model(spark, sf_dir):
+    """SC4, AG9: the mean score of every model's own events."""
+    p = _predictions(spark, sf_dir).withColumn("model", F.col("gen_args.model"))
+    return metrics.final_score(classify.events(p, "prediction_id", judge=classify.length_judge, carry=("model",)), "model")
+
+
 @query()
 def matched_events(spark, sf_dir):
     """CL2, CL4, S4: matched pairs judged again at their own second."""
@@ -523,11 +557,17 @@ def offline_generation(spark, sf_dir):
     return generate(r.select("sample_id", "system", messages.merged("m").alias("messages")), Echo, "sample_id")
 
 
+def _sessions(spark, sf_dir) -> DataFrame:
+    """Each session once: of copies the least by all its fields."""
+    a = table(spark, sf_dir, "annotations")
+    rest = F.struct(*[F.col(c) for c in ("conversations", "videos", "video_id", "type", "meta")])
+    return a.groupBy("session_id").agg(F.min(rest).alias("x")).select("session_id", "x.*")
+
+
 @query()
 def replayed_sessions(spark, sf_dir):
     """ST1, ST2, ST6, ST7, S5, S10: second-by-second replay with fed-back history (offline model)."""
-    sessions = table(spark, sf_dir, "annotations").dropDuplicates(["session_id"])
-    return replay.replay(sessions, Echo, messages.instruction(60), durations=table(spark, sf_dir, "durations"))
+    return replay.replay(_sessions(spark, sf_dir), Echo, messages.instruction(60), durations=table(spark, sf_dir, "durations"))
 
 
 @query()
