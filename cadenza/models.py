@@ -60,7 +60,27 @@ def backoff(attempt: int, base: float = 1.0, cap: float = 60.0) -> float:
     return min(cap, base * 2.0**attempt)
 
 
-_FINAL = ("400", "401", "403", "404", "invalid", "not found", "permission")
+class ServiceError(RuntimeError):
+    """A reply of a service that is no success; `status` is its HTTP status, if it has one."""
+
+    def __init__(self, text: str, status: int | None = None):
+        super().__init__(text)
+        self.status = status
+
+
+_STATUS = re.compile(r"(?i)(?:^|\bhttp(?:/[\d.]+)? |\b(?:status|code|error)(?: code)?[ :=]{1,2})(\d{3})\b")
+
+
+def is_final(error: Exception) -> bool:
+    """Whether trying again is in vain: client errors other than time-outs and limits, and faults of the call itself.
+
+    The status is the error's own, or the number that its text begins with or names as status, code or error."""
+    status = getattr(error, "status", None)
+    if status is None and (m := _STATUS.search(str(error))):
+        status = int(m.group(1))
+    if status is not None:
+        return 400 <= status < 500 and status not in (408, 409, 425, 429)
+    return isinstance(error, (FileNotFoundError, PermissionError, TypeError, KeyError))
 
 
 def with_retry(call: Generator, tries: int = 5, wait: Callable[[int], float] = backoff, sleep: Callable[[float], None] = time.sleep) -> Generator:
@@ -71,7 +91,7 @@ def with_retry(call: Generator, tries: int = 5, wait: Callable[[int], float] = b
             try:
                 return call(system, messages)
             except Exception as e:  # noqa: BLE001
-                if k + 1 == tries or any(x in str(e).lower() for x in _FINAL):
+                if k + 1 == tries or is_final(e):
                     break
                 sleep(wait(k))
         return Reply(None)
@@ -105,19 +125,58 @@ def contents_payload(system: str, messages: Messages, load: Callable[[str], byte
 
 
 def contents_reply(body: dict) -> Reply:
-    """The text parts that are no thoughts, joined; without any, the last part's text. Thoughts count as output."""
-    parts = body["candidates"][0]["content"]["parts"]
-    use = body.get("usageMetadata") or {}
-    said = [p["text"] for p in parts if p.get("text") and not p.get("thought")]
-    return Reply("".join(said) if said else parts[-1].get("text", ""), use.get("promptTokenCount", 0),
-                 use.get("candidatesTokenCount", 0) + use.get("thoughtsTokenCount", 0), use.get("totalTokenCount", 0), 1)
+    """What the first candidate says aloud, its thoughts left out; no text at all reads as silence. Thoughts count as output."""
+    aloud = [part["text"] for part in body["candidates"][0].get("content", {}).get("parts", ()) if "text" in part and not part.get("thought", False)]
+    count = lambda name: (body.get("usageMetadata") or {}).get(name) or 0
+    return Reply("".join(aloud), count("promptTokenCount"), count("candidatesTokenCount") + count("thoughtsTokenCount"), count("totalTokenCount"), 1)
 
 
 def template_messages(system: str, messages: Messages) -> list[dict]:
-    """The form that local chat templates take: typed parts, empty messages dropped."""
-    part = lambda p: {"type": "text", "text": p["text"]} if p["kind"] == "text" else {"type": "video", "video": p["text"]}
-    start = [{"role": "system", "content": [{"type": "text", "text": system}]}] if system else []
-    return start + [{"role": m["role"], "content": [part(p) for p in m["parts"] if p["text"]]} for m in messages if any(p["text"] for p in m["parts"])]
+    """The form of local chat templates: content as typed parts under the kind's own name; parts and messages without content are left out."""
+    said = ([{"role": "system", "parts": [{"kind": "text", "text": system}]}] if system else []) + messages
+    shaped = [{"role": m["role"], "content": [{"type": p["kind"], p["kind"]: p["text"]} for p in m["parts"] if p["text"]]} for m in said]
+    return [m for m in shaped if m["content"]]
+
+
+@dataclass
+class Local:
+    """A model in this process: `run` gets the template form and returns a text, or a text and its (input, output) token counts.
+
+    It is built once per task, so a task is one worker; give it as many cores or one device as it needs."""
+
+    run: Callable[[list[dict]], Any]
+
+    def __call__(self, system: str, messages: Messages) -> Reply:
+        got = self.run(template_messages(system, messages))
+        text, (given, made) = got if isinstance(got, tuple) else (got, (0, 0))
+        return Reply(text, given, made, given + made, 1)
+
+
+@dataclass
+class Http:
+    """Posts JSON and reads JSON: the `send` of a `Service`. Anything but status 200 is a `ServiceError`."""
+
+    url: str
+    key: str = ""
+    timeout: float = 1200.0
+    verify: bool = True
+    headers: dict = field(default_factory=dict)
+
+    def __call__(self, payload: dict) -> dict:
+        import json
+        import ssl
+        import urllib.error
+        import urllib.request
+
+        head = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {}), **self.headers}
+        tls = ssl.create_default_context() if self.verify else ssl._create_unverified_context()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(payload).encode(), head), timeout=self.timeout, context=tls if self.url.startswith("https") else None) as reply:
+                if reply.status != 200:
+                    raise ServiceError(f"status {reply.status}", reply.status)
+                return json.loads(reply.read())
+        except urllib.error.HTTPError as e:
+            raise ServiceError(f"status {e.code}: {e.read(500)!r}", e.code) from e
 
 
 # Model names that start so are spoken to in the chat form.
@@ -140,12 +199,23 @@ class Service:
         return contents_reply(self.send(contents_payload(system, messages, self.load)))
 
 
-def load_model(path: str, **kwargs: Any) -> Any:
+def load_model(path: str, /, **kwargs: Any) -> Any:
     """An object from a dotted class or function path and its arguments."""
     module, _, name = path.rpartition(".")
     return getattr(importlib.import_module(module), name)(**kwargs)
 
 
+@dataclass
+class Maker:
+    """Makes a model by path and arguments where it is called, so that it can be sent to executors."""
+
+    path: str
+    kwargs: dict = field(default_factory=dict)
+
+    def __call__(self) -> Any:
+        return load_model(self.path, **self.kwargs)
+
+
 # ---- on tables ---------------------------------------------------------------------------------------------
 
 
@@ -173,7 +243,8 @@ def generate(requests: DataFrame, make: Callable[[], Generator], *keys: str) ->
 def judge_with(make: Callable[[], Callable[[str], str]], tries: int = 3):
     """A judge for `events`: a column function that asks a text model for a JSON reply and reads score and explanation.
 
-    The reply is read with `judge_reply`; a request is repeated up to `tries` times in all while its reply has no score.
+    The reply is read with `judge_reply`; a request is repeated up to `tries` times in all while its reply has no score. A NULL
+    response asks nothing.
     """
     from cadenza.operators.messages import judge_prompt
 
@@ -194,7 +265,7 @@ def judge_with(make: Callable[[], Callable[[str], str]], tries: int = 3):
                 out.append(reply)
             yield pd.Series(out, dtype=object)
 
-    return lambda question, response, answer: judge_reply(ask(judge_prompt(question, response, answer)))
+    return lambda question, response, answer: judge_reply(ask(F.when(response.isNotNull(), judge_prompt(question, response, answer))))
 
 
 def hashed_embeddings(texts: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
@@ -217,6 +288,21 @@ def hashed_embeddings(texts: DataFrame, text: str = "text", size: int = 64) -> D
     return texts.select(F.col(text).alias("text")).where("text is not null").distinct().withColumn("vec", embed("text"))
 
 
+def model_embeddings(texts: DataFrame, make: Callable[[], Callable[[list[str]], Any]], text: str = "text", batch: int = 64) -> DataFrame:
+    """(text, vec) of distinct texts by an encoder that maps a list of texts to vectors; it is made once per task."""
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for part in batches:
+            out: list = []
+            for a in range(0, len(part), batch):
+                out += [[float(x) for x in v] for v in encode(list(part.iloc[a:a + batch]))]
+            yield pd.Series(out)
+
+    return texts.select(F.col(text).alias("text")).where("text is not null").distinct().withColumn("vec", embed("text"))
+
+
 def table_embeddings(texts: DataFrame, embeddings: DataFrame, text: str = "text") -> DataFrame:
     """(text, vec) of distinct texts from a table of vectors (vec_id from 0, embedding): the text's MD5 picks the row."""
     n = embeddings.agg(F.count(F.lit(1)).alias("n"))

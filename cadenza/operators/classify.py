@@ -38,7 +38,9 @@ def events(df: DataFrame, key: str, width: float = 2.0, placeholders: tuple[str,
                         .when(F.col("ps") & ~F.col("met"), F.lit("NoResponse")))
     e = (e.withColumn("category", category).where("category is not null")
          .withColumn("answer", F.when(F.col("is_paired") & ~F.col("ps"), F.col("paired")).otherwise(F.col("gt"))))
-    verdict = judge(F.col("question"), F.col("response"), F.col("answer")) if judge else F.lit(None).cast("struct<score:double,explanation:string>")
+    # only what is judged reaches the judge: a NULL response asks nothing
+    asked = lambda c: F.when(F.col("category") == "PartlyCorrect", F.col(c))
+    verdict = judge(asked("question"), asked("response"), asked("answer")) if judge else F.lit(None).cast("struct<score:double,explanation:string>")
     e = e.withColumn("v", F.when(F.col("category") == "PartlyCorrect", verdict))
     score = F.when(F.col("category") == "CorrectSilent", F.lit(100.0)).when(F.col("category") == "PartlyCorrect", judge_points(F.col("v.score"))).otherwise(F.lit(0.0))
     return e.select(key, *carry, "scene_type", "question", "i", "timestamp", "answer", "response", "category", score.alias("score"),

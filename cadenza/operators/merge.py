@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.paths import interval_pair
+from cadenza.functions.paths import interval_pair, stem
 from cadenza.operators.turns import first_instruction
 
 
@@ -20,17 +20,42 @@ def merged_turns(samples: DataFrame, key: str, order: str, said: str = "pred") -
     pair = interval_pair(F.coalesce(F.try_element_at("videos", F.lit(-1)), F.lit("")))
     asked = samples.groupBy(F.col(key).alias("_k")).agg(F.min_by(first_instruction(), F.col(order)).alias("question"))
     return (t.select(key, pair.alias("p"), F.col(order), F.coalesce("turn.timestamp", "endpoint_timestamp").cast("double").alias("timestamp"),
-                     F.col(f"turn.{said}").alias("text"), "sample_type")
+                     F.col(f"turn.{said}").alias("text"), F.col("turn.value").alias("value"), "sample_type")
             .join(asked, F.col(key) == F.col("_k"), "left")
-            .select(key, F.col("p.start").alias("start"), F.col("p.end").alias("end"), order, "timestamp", "text", "sample_type", "question"))
+            .select(key, F.col("p.start").alias("start"), F.col("p.end").alias("end"), order, "timestamp", "text", *(["value"] if said != "value" else []), "sample_type", "question"))
 
 
-def in_subset(df: DataFrame, subset: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in the list (one column `line`, trimmed, blanks dropped)."""
-    lines = subset.select(F.trim("line").alias(key)).where(F.length(key) > 0)
+def in_subset(df: DataFrame, subset: DataFrame, key: str, by: str = "line") -> DataFrame:
+    """Rows whose key is in the list (column `line`, trimmed, blanks dropped).
+
+    `by` says what of a line is compared: `line` the whole relative path, `file` its last part with extension, `name` that
+    without extension. Keys are taken as they are, so a caller passes a file name where it asks for one.
+    """
+    line = F.trim("line")
+    part = {"line": line, "file": F.substring_index(line, "/", -1), "name": stem(line)}[by]
+    lines = subset.where(F.length(line) > 0).select(part.alias(key)).distinct()
     return df.join(lines, key, "left_semi")
 
 
+def domains(df: DataFrame, subset: DataFrame, file: str, name: str = "domain") -> DataFrame:
+    """Adds the domain of a row: the first part of the list's line that ends in the row's file name; `unknown` where that line has
+    no folder, NULL where there is no line. Of several lines the last in order of text counts."""
+    line = F.trim("line")
+    known = (subset.where(F.length(line) > 0).select(F.substring_index(line, "/", -1).alias(file), F.struct(line.alias("l"), F.when(F.instr(line, "/") > 0, F.split(line, "/")[0]).otherwise("unknown").alias("d")).alias("x"))
+             .groupBy(file).agg(F.max("x")["d"].alias(name)))
+    return df.join(known, file, "left")
+
+
+def conversations(merged: DataFrame, key: str, order: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The turns of `merged_turns` as one conversation per key: the question (if there is one), then the assistant turns in order of
+    (start, end, order), with value, timestamp, pred and sample_type. A session is bounded by its video's length."""
+    turn = F.struct(F.lit("assistant").alias("from"), F.col("value"), "timestamp", F.col("text").alias("pred"), "sample_type")
+    per = merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", order, turn.alias("turn")))).alias("t"), F.first("question", True).alias("question"), *[F.first(c, True).alias(c) for c in carry])
+    ask = F.struct(F.lit("user").alias("from"), F.col("question").alias("value"), F.lit(None).cast("double").alias("timestamp"), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("int").alias("sample_type"))
+    said = F.transform("t", lambda x: x["turn"])
+    return per.select(key, *carry, F.when(F.col("question").isNull(), said).otherwise(F.concat(F.array(ask), said)).alias("conversations"))
+
+
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key no finished output has."""
     return df.join(done.select(key), key, "left_anti")

@@ -33,14 +33,38 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     """Prediction files of all models below a root, `model/.../video.json`; adds model and the relative name of the file."""
     below = re.sub(r"^\w+:/*", "/", root.rstrip("/"))
-    rel = F.regexp_extract("file", re.escape(below).replace("\\/", "/") + r"/(.*)$", 1)
-    return read_json_documents(spark, root, schema.PREDICTION).withColumn("relative", rel).withColumn("model", F.split("relative", "/")[0])
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    rel = F.regexp_extract(path, re.escape(below).replace("\\/", "/") + r"/(.*)$", 1)
+    df = read_json_documents(spark, root, schema.PREDICTION).withColumn("relative", rel).withColumn("model", F.split("relative", "/")[0])
+    # what a stage wrote lies in a folder named session=...; such a session is the row's name, else the file is
+    folder = F.regexp_extract("relative", r"(?:^|/)session=([^/]*)/", 1)
+    return df.withColumn("named", F.coalesce(F.nullif(folder, F.lit("")), stem(F.col("relative"))))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return read_json_documents(spark, path, schema.SAMPLE)
 
 
+def read_stage(spark: SparkSession, path: str) -> DataFrame:
+    """Samples as a stage wrote them, JSON lines in one folder per session; the session is the folder's, as text."""
+    return spark.read.schema(f"sample_id STRING, session STRING, video_id STRING, type STRING, videos ARRAY<STRING>, conversations ARRAY<STRUCT<{schema.TURN}>>, "
+                             "endpoint_timestamp INT, sample_type INT").json(path)
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """(session) of the predictions that lie finished below a path; none where there is no such path."""
+    ddl = "session STRING, conversations ARRAY<STRING>"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "session STRING")
+    return spark.read.schema(ddl).json(path).where("size(conversations) > 0").select("session").distinct()
+
+
+def read_keyed_match_info(spark: SparkSession, path: str, key: str = "relative") -> DataFrame:
+    """Match tables as JSON lines with their key, as the score stage writes them."""
+    return spark.read.schema(f"{key} STRING, {schema.MATCH_INFO}").json(path)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of events; blank lines are skipped."""
     return spark.read.schema(schema.EVENT).json(path)

@@ -18,7 +18,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cadenza.models import Generator, with_retry
 from cadenza.operators.sampling import seconds, spans, target
 
-OUT = "session_id long, t int, sample_type int, gt string, pred string, n_history int"
+USAGE = ("input_tokens", "output_tokens", "total_tokens", "api_calls")
+
+
+def _out(sessions: DataFrame) -> str:
+    return f"session_id {sessions.schema['session_id'].dataType.simpleString()}, t int, sample_type int, gt string, pred string, n_history int"
 
 
 def is_silent(text: str | None) -> bool:
@@ -29,11 +33,14 @@ def is_silent(text: str | None) -> bool:
     return re.sub(r"[.!。！ ]+$", "", bare).strip().lower() == "silent"
 
 
-def _messages(history: list[list], t: int, window: int) -> list[dict]:
-    """History turns and the window's seconds as messages, users' neighbours merged."""
+def _messages(history: list[list], t: int, window: int, path: str | None = None) -> list[dict]:
+    """History turns and the window's seconds as messages, users' neighbours merged. A second stands as its clip of the video
+    `path`, or by its seconds alone."""
+    stem, dot, ext = (path or "").rpartition(".")
+    before, after = (f"{stem or ext}_", f".{ext}" if dot and "/" not in ext else "") if path else ("", "")
     lo = max(0, t - window)
     items = [(s, 1, role, [{"kind": "text", "text": x}]) for s, role, x in history]
-    items += [(s + 1, 0, "user", [{"kind": "video", "text": f"{s}_{s + 1}"}]) for s in range(lo, t)]
+    items += [(s + 1, 0, "user", [{"kind": "video", "text": f"{before}{s}_{s + 1}{after}"}]) for s in range(lo, t)]
     out: list[dict] = []
     for _, _, role, parts in sorted(items, key=lambda x: x[:2]):
         if out and out[-1]["role"] == role == "user":
@@ -43,14 +50,14 @@ def _messages(history: list[list], t: int, window: int) -> list[dict]:
     return out
 
 
-def step(history: list[list], asks: list[tuple[int, str]], t: int, call: Generator, system: str, window: int) -> str | None:
+def step(history: list[list], asks: list[tuple[int, str]], t: int, call: Generator, system: str, window: int, path: str | None = None) -> str | None:
     """One second: release the instructions up to t, predict, and keep what was said unless it is silence."""
     released = {(a, x) for a, role, x in history if role == "user"}
     for a, x in asks:
         if a <= t and (a, x) not in released:
             history.append([a, "user", x])
             released.add((a, x))
-    reply = call(system, _messages(history, t, window)).text
+    reply = call(system, _messages(history, t, window, path)).text
     if not is_silent(reply):
         history.append([t, "assistant", reply])
     return reply
@@ -66,36 +73,52 @@ def sampled(sessions: DataFrame, **span) -> DataFrame:
     return s.select("session_id", "t", "sample_type", target().alias("gt"), F.expr(_ASKS).alias("asks"))
 
 
-def replay(sessions: DataFrame, make: Callable[[], Generator], system: str = "", window: int = 60, **span) -> DataFrame:
-    """Replay of every session (unique session_id): session_id, t, sample_type, gt, pred, n_history (turns seen after t).
+class Tally:
+    """A generator that adds up what its replies cost."""
+
+    def __init__(self, call: Generator):
+        self.call, self.sums = call, dict.fromkeys(USAGE, 0)
+
+    def __call__(self, system: str, messages: list[dict]):
+        reply = self.call(system, messages)
+        for name in USAGE:
+            self.sums[name] += getattr(reply, name) or 0
+        return reply
+
+
+def replay(sessions: DataFrame, make: Callable[[], Generator], system: str = "", window: int = 60, usage: bool = False, every: int = 1, **span) -> DataFrame:
+    """Replay of every session (unique session_id of any type): session_id, t, sample_type, gt, pred, n_history (turns seen after t).
+    With `usage`, the session's token counters up to that second as well; `every` is the step in seconds.
 
     A session stays one row up to the model, its seconds an array made in place; sessions without videos or timed answers
     give none.
     """
     b = spans(sessions.where("size(videos) > 0"), "session_id", "conversations", "videos", **span)
     says = F.expr("transform(filter(conversations, c -> c.from = 'assistant' and c.timestamp is not null), c -> struct(cast(c.timestamp as int) as s, c.value as v))")
-    per = b.select("session_id", "start_t", "end_t", says.alias("says"), F.expr(_ASKS).alias("asks"))
+    per = b.select("session_id", "start_t", "end_t", says.alias("says"), F.expr(_ASKS).alias("asks"), F.try_element_at("videos", F.lit(1)).alias("path"))
+    out = _out(sessions) + (", " + ", ".join(f"{n} long" for n in USAGE) if usage else "")
 
     def seconds_of(start: int, end: int, said) -> Iterator[tuple[int, int, str]]:
         texts: dict[int, list[str]] = {}
         for x in said:
             texts.setdefault(x["s"], []).append(x["v"])
-        for t in range(start, end + 1):
+        for t in range(start, end + 1, every):
             yield t, 1 if t in texts else 2, " ".join(v for v in texts[t] if v is not None) if t in texts else "Silent"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = with_retry(make())
         for pdf in batches:
             rows = []
-            for sid, start, end, said, asks in zip(pdf["session_id"], pdf["start_t"], pdf["end_t"], pdf["says"], pdf["asks"]):
+            for sid, start, end, said, asks, path in zip(pdf["session_id"], pdf["start_t"], pdf["end_t"], pdf["says"], pdf["asks"], pdf["path"]):
                 history: list[list] = []
+                paid = Tally(call)
                 told = [(a["s"], a["v"]) for a in asks]
                 for t, kind, gt in seconds_of(start, end, said):
-                    pred = step(history, told, t, call, system, window)
-                    rows.append((sid, t, kind, gt, pred, len(history)))
-            yield pd.DataFrame(rows, columns=["session_id", "t", "sample_type", "gt", "pred", "n_history"])
+                    pred = step(history, told, t, paid, system, window, path)
+                    rows.append((sid, t, kind, gt, pred, len(history), *(paid.sums.values() if usage else ())))
+            yield pd.DataFrame(rows, columns=["session_id", "t", "sample_type", "gt", "pred", "n_history", *(USAGE if usage else ())])
 
-    return per.mapInPandas(run, OUT)
+    return per.mapInPandas(run, out)
 
 
 def replay_stream(secs: DataFrame, make: Callable[[], Generator], system: str = "", window: int = 60) -> DataFrame:
@@ -115,7 +138,7 @@ def replay_stream(secs: DataFrame, make: Callable[[], Generator], system: str =
         state.update((json.dumps(history),))
         yield pd.DataFrame(rows, columns=["session_id", "t", "sample_type", "gt", "pred", "n_history"])
 
-    return secs.groupBy("session_id").applyInPandasWithState(run, OUT, "history string", "append", GroupStateTimeout.NoTimeout)
+    return secs.groupBy("session_id").applyInPandasWithState(run, _out(secs), "history string", "append", GroupStateTimeout.NoTimeout)
 
 
 def dump_batches(stream: DataFrame, path: str, checkpoint: str):
