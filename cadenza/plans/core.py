@@ -395,6 +395,25 @@ def assigned_free(spark, sf_dir):
     return m.where("kind = 'matched'").join(one, ["prediction_id", "seg"], "left_semi").select("prediction_id", "seg", "i", "j", F.round("cost", 6).alias("cost"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_COST}, sz AS (SELECT k, seg, count(CASE WHEN gen <> '' THEN 1 END) AS talks FROM fr GROUP BY k, seg HAVING count(CASE WHEN ref <> '' THEN 1 END) > 0),
+    w AS (SELECT t.k, t.seg, sz.talks, t.pos AS i, c.pos AS c, c.ref <> '' AS is_ref, coalesce(cost.text_cost, 1.0) AS tc, coalesce(cost.text_cost, 1.0) + 1 - exp(-0.01 * power(t.pos - c.pos, 2)) AS w
+        FROM fr t JOIN sz ON sz.k = t.k AND sz.seg = t.seg AND sz.talks <= 2 JOIN fr c ON c.k = t.k AND c.seg = t.seg LEFT JOIN cost ON cost.k = t.k AND cost.seg = t.seg AND cost.i = t.pos AND cost.j = c.pos WHERE t.gen <> ''),
+    one AS (SELECT k, seg, arg_min(struct_pack(i := i, c := c), w) AS a, NULL AS b FROM w WHERE talks = 1 GROUP BY k, seg),
+    two AS (SELECT x.k, x.seg, struct_pack(i := x.i, c := x.c) AS a, struct_pack(i := y.i, c := y.c) AS b FROM w x JOIN w y ON x.k = y.k AND x.seg = y.seg AND x.i < y.i AND x.c <> y.c WHERE x.talks = 2
+        QUALIFY row_number() OVER (PARTITION BY x.k, x.seg ORDER BY round(x.w + y.w, 9), x.is_ref DESC) = 1),
+    took AS (SELECT k, seg, a.i AS i, a.c AS c FROM one UNION ALL SELECT k, seg, a.i, a.c FROM two UNION ALL SELECT k, seg, b.i, b.c FROM two),
+    m AS (SELECT w.k, w.seg, w.i, w.c, w.is_ref, w.tc, w.w FROM took JOIN w ON w.k = took.k AND w.seg = took.seg AND w.i = took.i AND w.c = took.c)
+    SELECT k AS prediction_id, seg, 'matched' AS kind, i, c AS j, round(w, 6) AS cost, round(1 - tc, 6) AS score FROM m WHERE is_ref
+    UNION ALL SELECT k, seg, 'redundant', i, NULL, NULL, NULL FROM m WHERE NOT is_ref
+    UNION ALL SELECT f.k, f.seg, 'missed', NULL, f.pos, NULL, NULL FROM fr f JOIN sz ON sz.k = f.k AND sz.seg = f.seg AND sz.talks <= 2 WHERE f.ref <> '' AND NOT EXISTS (SELECT 1 FROM m WHERE m.k = f.k AND m.seg = f.seg AND m.c = f.pos)""")
+def assigned_small(spark, sf_dir):
+    """AS4, AS5 against enumeration: the whole match of the segments that have references and at most two talking frames,
+    displaced frames and several references at one time included. At equal cost the earlier frame takes the reference."""
+    f, m = _matched(spark, sf_dir)
+    few = f.groupBy("prediction_id", "seg").agg(F.count_if(F.col("ref") != "").alias("r"), F.count_if(F.col("gen") != "").alias("g")).where("r > 0 and g <= 2")
+    return m.join(few, ["prediction_id", "seg"], "left_semi").select("prediction_id", "seg", "kind", "i", "j", F.round("cost", 6).alias("cost"), F.round("score", 6).alias("score"))
+
+
 @query()
 def assigned(spark, sf_dir):
     """AS4, AS5, JN6, JN11, D9: the whole match table."""
@@ -546,7 +565,12 @@ def pred_counts(spark, sf_dir):
     return _predictions(spark, sf_dir).where("size(conversations) > 0").select("prediction_id", n("c.from = 'assistant' and c.pred is not null").alias("n_preds"), n("c.from = 'assistant'").alias("n_turns"))
 
 
-@query()
+@query(r"""WITH v AS (SELECT sample_id, list_slice(videos, greatest(1, len(videos) - 9), len(videos)) AS vs, list_transform(list_filter(conversations, lambda c: c."from" = 'user' AND c.value IS DISTINCT FROM '<video>'), lambda c: c.value) AS asks
+        FROM samples WHERE len(videos) > 0),
+    x AS (SELECT sample_id, len(vs) + len(asks) AS n, coalesce(list_sum(list_transform(vs, lambda p: length(coalesce(p, '')))), 0) + coalesce(list_sum(list_transform(asks, lambda a: length(coalesce(a, '')))), 0) AS size,
+        list_filter(asks, lambda a: a <> '')[-1] AS said FROM v),
+    y AS (SELECT sample_id, size, CASE WHEN said IS NOT NULL AND n % 5 = 0 THEN array_to_string(list_slice(regexp_split_to_array(trim(said), '\s+'), 1, 4), ' ') ELSE 'Silent.' END AS pred FROM x)
+    SELECT sample_id, pred, CAST(size AS BIGINT) AS input_tokens, length(pred) AS output_tokens, CAST(size + length(pred) AS BIGINT) AS total_tokens, 1 AS api_calls FROM y""")
 def offline_generation(spark, sf_dir):
     """ST3, U1, AG14: the offline model on the requests of every sample."""
     s = table(spark, sf_dir, "samples").where("size(videos) > 0")
@@ -564,7 +588,16 @@ def _sessions(spark, sf_dir) -> DataFrame:
     return a.groupBy("session_id").agg(F.min(rest).alias("x")).select("session_id", "x.*")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_SECONDS}, pk AS (SELECT session_id, min(rid) AS rid FROM turns WHERE len(videos) > 0 GROUP BY session_id),
+    ak AS (SELECT DISTINCT h.rid, CAST(trunc(h.ts) AS INTEGER) AS s, h.value AS v FROM turns h JOIN pk ON pk.rid = h.rid WHERE h.role = 'user' AND h.value IS DISTINCT FROM '<video>' AND h.ts IS NOT NULL),
+    st AS (SELECT se.rid, se.session_id, se.t, (SELECT count(*) FROM ak WHERE ak.rid = se.rid AND ak.s <= se.t) AS asked,
+        (SELECT v FROM ak WHERE ak.rid = se.rid AND ak.s <= se.t AND v <> '' ORDER BY s DESC, v DESC LIMIT 1) AS said, row_number() OVER (PARTITION BY se.rid ORDER BY se.t) AS n FROM se JOIN pk ON pk.rid = se.rid),
+    go AS (SELECT rid, 0 AS n, 0 AS own, CAST(NULL AS BOOLEAN) AS talk FROM pk
+        UNION ALL SELECT st.rid, st.n, go.own + CASE WHEN st.said IS NOT NULL AND (st.asked + go.own + least(st.t, 60)) % 5 = 0 THEN 1 ELSE 0 END,
+            st.said IS NOT NULL AND (st.asked + go.own + least(st.t, 60)) % 5 = 0 FROM go JOIN st ON st.rid = go.rid AND st.n = go.n + 1)
+    SELECT st.session_id, st.t, CASE WHEN count(a.pos) > 0 THEN 1 ELSE 2 END AS sample_type, CASE WHEN count(a.pos) > 0 THEN string_agg(a.value, ' ' ORDER BY a.pos) ELSE 'Silent' END AS gt,
+        CASE WHEN go.talk THEN array_to_string(list_slice(regexp_split_to_array(trim(st.said), '\s+'), 1, 4), ' ') ELSE 'Silent.' END AS pred, st.asked + go.own AS n_history
+    FROM st JOIN go ON go.rid = st.rid AND go.n = st.n LEFT JOIN turns a ON a.rid = st.rid AND a.role = 'assistant' AND trunc(a.ts) = st.t GROUP BY st.rid, st.session_id, st.t, st.said, st.asked, go.talk, go.own""")
 def replayed_sessions(spark, sf_dir):
     """ST1, ST2, ST6, ST7, S5, S10: second-by-second replay with fed-back history (offline model)."""
     return replay.replay(_sessions(spark, sf_dir), Echo, messages.instruction(60), durations=table(spark, sf_dir, "durations"))
