@@ -277,9 +277,9 @@ class PairModel:
         worded = np.array([any(not t[:1].isdigit() for t in tokens(p)) for p in replies], bool)
         return np.where(worded, (want * has).sum(1), 1.0)
 
-    def rows(self, questions: list[str], replies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, questions: list[str], replies: list[str], agree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, feature) of pairs, in order of rows."""
-        agree = self.agreement(questions, replies)
+        agree = self.agreement(questions, replies) if agree is None else agree
         dense = [structure(q, p, a, self.words) for q, p, a in zip(questions, replies, agree)]
         return _joined(dense, *lexical(replies))
 
@@ -399,7 +399,7 @@ def made_pairs(sound: list[tuple[str, str]], lang_of, rng: np.random.Generator)
     langs = [LANGUAGES[i] for i in lang_of([p for _, p in sound])]
     # rarer languages are used more than once, so that their phrases weigh enough
     share = Counter(langs)
-    times = [min(4, max(1, round(max(share.values()) / (2 * share[k])))) if share[k] >= 10 else 1 for k in langs]
+    times = [min(2, max(1, round(max(share.values()) / (2 * share[k])))) if share[k] >= 10 else 1 for k in langs]
     pick = lambda x: x[int(rng.integers(len(x)))]
     own = lambda d, k: d.get(k, d["en"])
     asked_in = defaultdict(list)
@@ -449,7 +449,7 @@ def made_pairs(sound: list[tuple[str, str]], lang_of, rng: np.random.Generator)
             if rng.random() < 0.5:
                 x = p + sep + x if rng.random() < 0.5 else x
                 out.append((q, x + pick([",", ";", ":", " -", " –", "…,"] if k not in ("zh", "ja") else ["，", "；", "：", "、"]), "truncated"))
-        out += [(q, g, None) for g in good]
+        out += [(q, good[i], None) for i in rng.permutation(len(good))[:6]]
         for text in (p, p + sep + pick(by[k])):
             if (c := _cut(text, full, rng)) is not None:
                 out.append((q, c, "truncated"))
@@ -488,11 +488,11 @@ class Rows:
         """With `rng`, a third of the sound pairs come once more without their words and with a last word that nobody knows,
         and a third of the cut ones without their words."""
         q, p = [x[0] for x in made], [x[1] for x in made]
-        row, feat = model.rows(q, p)
+        agree = model.agreement(q, p)
+        row, feat = model.rows(q, p, agree)
         feats = np.split(feat, np.flatnonzero(np.diff(row)) + 1) if len(row) else []
         names = [x[2] for x in made]
         if rng is not None:
-            agree = model.agreement(q, p)
             for i in np.flatnonzero(rng.random(len(made)) < 0.33):
                 if names[i] is None:
                     feats.append(np.array(structure(q[i], p[i], agree[i], model.words, strange=True)))
