@@ -12,6 +12,7 @@ containers they fill; each item finds its container by its rank among the items
 from __future__ import annotations
 
 import bisect
+import logging
 import math
 from dataclasses import dataclass
 
@@ -19,7 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import written
+from cadenza.session import small, written
+
+log = logging.getLogger("cadenza")
 
 
 @dataclass
@@ -31,7 +34,9 @@ class Plan:
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
-    """(items of each size, number of containers) that hold the demand; sizes are above 0 and at most the capacity."""
+    """(items of each size, number of containers) that hold the demand; sizes are above 0 and at most the capacity.
+
+    After `rounds` columns without an optimum the best plan so far is used, which holds the demand too; that is logged."""
     k = len(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     b = np.array(demand, float)
@@ -48,6 +53,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
             break
         ratio = np.where(ok, x / np.where(ok, d, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
+    else:
+        log.warning("no optimum of the configurations after %d columns; the best plan so far is used", rounds)
     x = np.linalg.solve(basis, b)
     made, rest = [], np.array(demand, "int64")
     for j in np.argsort(-x):
@@ -224,10 +231,10 @@ def pack(items: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n
     p = written(pieces(items, capacity, key, size), "pack-pieces")
     histogram = {r[0]: r[1] for r in p.groupBy("size").count().collect()}  # at most capacity + 1 rows
     made = plan(histogram, capacity, groups, small)
-    segments = spark.createDataFrame(made.segments or [(-1, 0, 0, 0, 1)], "size long, lo long, hi long, first long, per long")
+    # segments number at most a few times the capacity, whatever the data's size; `small` checks it before it hints a broadcast
+    segments = small(spark, made.segments or [(-1, 0, 0, 0, 1)], "size long, lo long, hi long, first long, per long")
     r = ranked(p, max(histogram.values(), default=0))
     inside = (F.col("p.size") == F.col("g.size")) & (F.col("p.rank") >= F.col("g.lo")) & (F.col("p.rank") < F.col("g.hi"))
-    # broadcast: segments number at most a few times the capacity, whatever the data's size
-    return (r.alias("p").join(F.broadcast(segments).alias("g"), inside)
+    return (r.alias("p").join(segments.alias("g"), inside)
             .select(F.col("p.key").alias(key), F.col("p.piece").cast("int").alias("piece"), F.col("p.start").alias("start"), F.col("p.size").alias("size"),
                     (F.col("g.first") + F.floor((F.col("p.rank") - F.col("g.lo")) / F.col("g.per"))).cast("bigint").alias("container")))
