@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import small, written
+from cadenza.session import small as small_table
+from cadenza.session import written
 
 log = logging.getLogger("cadenza")
 
@@ -231,8 +232,8 @@ def pack(items: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n
     p = written(pieces(items, capacity, key, size), "pack-pieces")
     histogram = {r[0]: r[1] for r in p.groupBy("size").count().collect()}  # at most capacity + 1 rows
     made = plan(histogram, capacity, groups, small)
-    # segments number at most a few times the capacity, whatever the data's size; `small` checks it before it hints a broadcast
-    segments = small(spark, made.segments or [(-1, 0, 0, 0, 1)], "size long, lo long, hi long, first long, per long")
+    # segments number at most a few times the capacity, whatever the data's size; `small_table` checks it before it hints a broadcast
+    segments = small_table(spark, made.segments or [(-1, 0, 0, 0, 1)], "size long, lo long, hi long, first long, per long")
     r = ranked(p, max(histogram.values(), default=0))
     inside = (F.col("p.size") == F.col("g.size")) & (F.col("p.rank") >= F.col("g.lo")) & (F.col("p.rank") < F.col("g.hi"))
     return (r.alias("p").join(segments.alias("g"), inside)
