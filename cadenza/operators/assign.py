@@ -127,17 +127,19 @@ def match(frames: DataFrame, key: str, vectors: DataFrame | None = None) -> Data
     """The match table: key, seg, kind (matched, missed, redundant), i, j, cost, score, gen_ts, ref_ts.
 
     score is 1 - text cost, cost the text cost plus the distance cost. Segments without a talking reference need no
-    solver; the others go to it as one small row each.
+    solver; the others go to it as one row each, from one midpoint to the next. Frames with a NULL key match nothing.
     """
-    sides = frames.groupBy(key, "seg").agg(
+    with_refs = frames.where("ref <> ''").select(key, "seg").distinct()
+    sides = frames.join(with_refs, [key, "seg"], "left_semi").groupBy(key, "seg").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("gen") != "", F.struct("pos", "ts")))).alias("talks"),
         F.array_sort(F.collect_list(F.when(F.col("ref") != "", F.struct("pos", "ts")))).alias("refs"))
-    none = sides.where("size(refs) = 0").select(key, "seg", F.explode("talks").alias("t")).select(
-        key, "seg", F.lit("redundant").alias("kind"), F.col("t.pos").alias("i"), F.lit(None).cast("int").alias("j"),
-        F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("score"), F.col("t.ts").alias("gen_ts"), F.lit(None).cast("double").alias("ref_ts"))
+    # a session without references is one segment of any length: its frames stay rows
+    none = frames.where("gen <> ''").join(with_refs, [key, "seg"], "left_anti").select(
+        key, "seg", F.lit("redundant").alias("kind"), F.col("pos").alias("i"), F.lit(None).cast("int").alias("j"),
+        F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("score"), F.col("ts").alias("gen_ts"), F.lit(None).cast("double").alias("ref_ts"))
     costs = pair_costs(frames, key, vectors).groupBy(key, "seg").agg(F.collect_list(F.struct("i", "j", "text_cost")).alias("text"))
-    work = sides.where("size(refs) > 0").join(costs, [key, "seg"], "left")
+    work = sides.join(costs, [key, "seg"], "left")
     kind = work.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

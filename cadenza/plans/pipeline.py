@@ -22,7 +22,7 @@ from cadenza.functions.silence import PLACEHOLDERS_MATCHED
 from cadenza.models import Echo, Maker, generate, hashed_embeddings, judge_with, model_embeddings
 from cadenza.operators import assign, classify, merge, messages, metrics, sampling, segment
 from cadenza.plans import report
-from cadenza.session import get_session, written
+from cadenza.session import clean_up, get_session, written
 from cadenza.sources import readers, sinks
 from cadenza.streaming.replay import USAGE, replay
 
@@ -187,7 +187,11 @@ def main(argv: list[str] | None = None) -> None:
     d.add_argument("--debug", action="store_true", help="also write events, match tables, measures and their summary")
     d.add_argument("--no-align", action="store_true", help="leave the alignment out")
     d.add_argument("--match-info", help="stored match tables for the second judging where the alignment is left out")
-    run(p.parse_args(argv), get_session("cadenza"))
+    o, spark = p.parse_args(argv), get_session("cadenza")
+    try:
+        run(o, spark)
+    finally:
+        clean_up(spark)
 
 
 def run(o: argparse.Namespace, spark: SparkSession) -> None:

@@ -48,9 +48,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cadenza_path = path
+    _written.append(path)
     return out
 
 
+_written: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that `written` has made in this process. Results that still read them must have been stored before."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that `written` made; nothing that reads it may be run any more."""
     spark = df.sparkSession
