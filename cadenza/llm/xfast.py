@@ -35,11 +35,22 @@ class XFastTrie:
         self.before = dict(zip(keys[1:], keys))
         self.after = dict(zip(keys, keys[1:]))
         self.levels: list[dict[int, tuple[int, int]]] = []
-        sorted_keys = np.array(keys, "int64")
         for length in range(bits + 1):
-            prefix, first = np.unique(sorted_keys >> (bits - length), return_index=True)
-            end = np.append(first[1:], len(keys)) - 1
-            self.levels.append(dict(zip(prefix.tolist(), zip(sorted_keys[first].tolist(), sorted_keys[end].tolist()))) if keys else {})
+            self.levels.append(self._level(keys, bits - length))
+
+    @staticmethod
+    def _level(keys: list[int], shift: int) -> dict[int, tuple[int, int]]:
+        """The smallest and largest key of each prefix. Arrays pay only where there are many keys."""
+        if len(keys) < 500:
+            table: dict[int, tuple[int, int]] = {}
+            for k in keys:
+                p = k >> shift
+                table[p] = (table[p][0], k) if p in table else (k, k)
+            return table
+        all_ = np.array(keys, "int64")
+        prefix, first = np.unique(all_ >> shift, return_index=True)
+        last = np.append(first[1:], len(keys)) - 1
+        return dict(zip(prefix.tolist(), zip(all_[first].tolist(), all_[last].tolist())))
 
     def neighbours(self, q: int) -> tuple[int | None, int | None]:
         """Largest key at most q and smallest key at least q."""
