@@ -175,7 +175,7 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
                 .join(before.where("input_id = kept_id").select("key", F.col("input_id").alias("held")), "key", "left"))
     meta = kept(meta, "compact-meta")  # names are parsed once
     first = kept(keep_first(meta, file_id="input_id", key="key", time="at")
-                 .select("input_id", F.coalesce("held", "kept_id").alias("kept_id"), "key", "bytes"), "compact-first")
+                 .select("input_id", F.coalesce("held", "kept_id").alias("kept_id"), "key", "bytes", F.col("held").isNotNull().alias("in_store")), "compact-first")
     waiting = first.where("input_id = kept_id").select(F.col("input_id").alias("item_id"), "bytes")
     # Files enter at level 0; containers of earlier runs join at the level of their size.
     old = old_data.where(F.col("n_bytes") < tiers.target_bytes).select(F.col("output_id").alias("item_id"), F.col("n_bytes").alias("bytes"))
@@ -201,26 +201,25 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
                 *[c for c in df.columns if c != "at_id"], F.coalesce("to_id", "at_id").alias("at_id"))
         return df
 
-    # A file that met no other becomes a container of its own.
-    alone = F.col("src") == F.col("at_id")
+    # A file that met no other becomes a container of its own; one whose clip the store holds already comes into none.
     own = F.concat(F.lit("L0-"), F.sha2("src", 256))
-    where = kept(follow(first.where("input_id = kept_id").select(F.col("input_id").alias("src"), "key", "bytes"))
-                 .select("src", "key", "bytes", F.when(alone, own).otherwise(F.col("at_id")).alias("container"), alone.alias("alone")), "compact-where")
+    (follow(first.withColumn("src", F.col("kept_id")))
+     .select("input_id", "kept_id", "key", F.when(~F.col("in_store"), F.when(F.col("src") == F.col("at_id"), own).otherwise(F.col("at_id"))).alias("container"),
+             F.col("bytes").alias("input_bytes"), F.lit(run).alias("run"))
+     .write.mode("append").parquet(f"{store}/index"))
+    placed = _read(spark, f"{store}/index", INDEX).where(F.col("run") == run)
+    where = placed.where("input_id = kept_id").select(F.col("input_id").alias("src"), "key", F.col("input_bytes").alias("bytes"), "container")
     moved = kept(follow(old.select(F.col("item_id").alias("src"))).where("src <> at_id"), "compact-moved") if not fresh else None
 
     steps = [log(p.select(F.col("item_id").alias("input_id"), "output_id", F.col("bytes").alias("input_bytes")), "merge", F.lit(i)) for i, p in enumerate(merges)]
-    steps.append(log(where.where("alone").select(F.col("src").alias("input_id"), F.col("container").alias("output_id"), F.col("bytes").alias("input_bytes")), "merge", F.lit(0)))
-    steps.append(log(first.where("input_id <> kept_id").select("input_id", F.col("kept_id").alias("output_id"), F.col("bytes").alias("input_bytes")), "duplicate", F.lit(-1)))
+    steps.append(log(where.where(F.col("container") == own).select(F.col("src").alias("input_id"), F.col("container").alias("output_id"), F.col("bytes").alias("input_bytes")), "merge", F.lit(0)))
+    steps.append(log(placed.where("input_id <> kept_id").select("input_id", F.col("kept_id").alias("output_id"), "input_bytes"), "duplicate", F.lit(-1)))
     if moved is not None:
         steps.append(log(moved.select(F.col("src").alias("input_id"), F.col("at_id").alias("output_id"), F.lit(None).cast("bigint").alias("input_bytes")), "place", F.lit(-1)))
     out = steps[0]
     for step in steps[1:]:
         out = out.unionByName(step)
     out.write.mode("append").parquet(f"{store}/journal")
-    (first.join(where.select(F.col("src").alias("kept_id"), "container"), "kept_id", "left")
-     .select("input_id", "kept_id", "key", "container", F.col("bytes").alias("input_bytes"), F.lit(run).alias("run"))
-     .write.mode("append").parquet(f"{store}/index"))
-
     made = where.groupBy(F.col("container").alias("output_id")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("bytes").alias("n_bytes"))
     body = (files.select(F.col(file_id).alias("file_id"), F.col(payload).alias("payload")).join(where.select(F.col("src").alias("file_id"), "key", "container"), "file_id")
             .select("file_id", "key", "payload", "container"))
