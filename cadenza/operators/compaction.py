@@ -144,12 +144,13 @@ def plan_level(items: DataFrame, level: int, tiers: Tiers) -> DataFrame:
 
 
 def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str, time: str, payload: str,
-            tiers: Tiers = Tiers()) -> str:
+            tiers: Tiers = Tiers(), bodies: DataFrame | None = None) -> str:
     """Merge `files` into the store and return the name of this run.
 
     `files` holds intact files only: a string id, the key of what they contain, bytes and payload. Rows with a
     NULL key are stored under their own id. Files that the store holds, or has as duplicates, are left out;
-    files whose key the store holds already are journalled as duplicates. Empty input makes no transaction.
+    files whose key the store holds already are journalled as duplicates. Empty input makes no transaction. `bodies` may
+    give (file_id, payload) by a plainer way than `files`, whose other columns are needed for planning only.
     The bytes that are written are counted against the plan before the run is committed.
     """
     spark = files.sparkSession
@@ -221,7 +222,7 @@ def compact(files: DataFrame, store: str, *, file_id: str, key: str, size: str,
         out = out.unionByName(step)
     out.write.mode("append").parquet(f"{store}/journal")
     made = where.groupBy(F.col("container").alias("output_id")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("bytes").alias("n_bytes"))
-    body = (files.select(F.col(file_id).alias("file_id"), F.col(payload).alias("payload")).join(where.select(F.col("src").alias("file_id"), "key", "container"), "file_id")
+    body = ((files if bodies is None else bodies).select(F.col(file_id).alias("file_id"), F.col(payload).alias("payload")).join(where.select(F.col("src").alias("file_id"), "key", "container"), "file_id")
             .select("file_id", "key", "payload", "container"))
     if moved is not None:
         took = moved.join(commits(spark, store).select(F.col("output_id").alias("src"), "n_records", "n_bytes"), "src")

@@ -10,17 +10,20 @@ from cadenza.operators import compaction
 from cadenza.session import shared_dir, table
 
 
+def _intact(chunks: DataFrame) -> DataFrame:
+    return chunks.where("valid and n_bytes > 0").withColumn("file_id", F.lpad(F.col("chunk_id").cast("string"), 20, "0"))
+
+
 def intact(chunks: DataFrame) -> DataFrame:
     """Intact files (valid true, bytes above 0) with their clip as key; a path without interval is its own clip."""
-    return (with_clip(chunks.where("valid and n_bytes > 0").select("chunk_id", "path", "n_bytes", "written_at", "payload"), F.col("path"), "parsed")
-            .select(F.lpad(F.col("chunk_id").cast("string"), 20, "0").alias("file_id"), clip_key(F.col("parsed")).alias("clip"),
-                    "n_bytes", "written_at", "payload"))
+    return (with_clip(_intact(chunks).select("file_id", "path", "n_bytes", "written_at", "payload"), F.col("path"), "parsed")
+            .select("file_id", clip_key(F.col("parsed")).alias("clip"), "n_bytes", "written_at", "payload"))
 
 
 def store_of(spark: SparkSession, sf_dir: str) -> str:
     store = shared_dir(spark, "clips")
-    compaction.compact(intact(table(spark, sf_dir, "chunks")), store, file_id="file_id", key="clip",
-                       size="n_bytes", time="written_at", payload="payload")
+    chunks = table(spark, sf_dir, "chunks")
+    compaction.compact(intact(chunks), store, file_id="file_id", key="clip", size="n_bytes", time="written_at", payload="payload", bodies=_intact(chunks))
     return store
 
 
