@@ -363,9 +363,10 @@ def _forward_backward(e: np.ndarray, n: np.ndarray, trans: np.ndarray, start: np
         if t:
             to = psi[:, t] * beta
             if pairs:
-                x = alpha[:, t - 1][:, :, None] * a[None] * to[:, None, :]
-                x /= x.sum((1, 2), keepdims=True)
-                expected += x[t < n].sum(0)
+                before = alpha[:, t - 1]
+                scale = ((before @ a) * to).sum(1)
+                real = t < n
+                expected += a * ((before[real] / scale[real, None]).T @ to[real])
             beta = to @ a.T
             beta /= beta.max(1, keepdims=True)
     return gamma, expected
@@ -401,8 +402,8 @@ def fit(documents: list[list[Line]], steps: int = 60, rate: float = 0.25, decay:
     order = np.argsort(size, kind="stable")  # parts of like length, so that little is padding
     k = LABELS
     parts, seen, first = [], np.zeros((k, k)), np.zeros(k)
-    for i in range(0, len(order), 256):
-        part = order[i:i + 256]
+    for i in range(0, len(order), 800):
+        part = order[i:i + 800]
         n = size[part]
         steps_of = np.arange(n.max())
         x = starts[part][:, None] + np.minimum(steps_of, n[:, None] - 1)
