@@ -22,6 +22,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress
+from operator import methodcaller
 
 import numpy as np
 import pandas as pd
@@ -193,14 +195,14 @@ def parse(texts: list[str]) -> Parsed:
     big, offsets = _masked(texts)
     cp = _codes(big)
     cls = _classes()[np.minimum(cp, 0xFFFF)]
-    found = [(m.start(), m.group()) for m in _WORD.finditer(big)]
-    start = np.fromiter((a for a, _ in found), "int64", len(found))
+    found = list(_WORD.finditer(big))
+    start = np.fromiter(map(methodcaller("start"), found), "int64", len(found))
     keep = ~_names(cls, cp)[start]
-    words = [w for (_, w), k in zip(found, keep.tolist()) if k]
+    words = list(compress(map(methodcaller("group"), found), keep.tolist()))
     start = start[keep]
     end = start + np.fromiter(map(len, words), "int64", len(words))
     breaks = np.flatnonzero(cp == 10)
-    bounds = np.union1d(np.fromiter((m.end() for m in _END.finditer(big)), "int64"), breaks)
+    bounds = np.union1d(np.fromiter(map(methodcaller("end"), _END.finditer(big)), "int64"), breaks)
     sentence = np.searchsorted(bounds, start, "right")
     row = np.searchsorted(breaks, start)
     rows, line = np.unique(row, return_inverse=True)
@@ -289,8 +291,8 @@ class Field:
         """Scores of words without regard to layout; each distinct word is hashed once."""
         if len(self.seen) > 200_000:
             self.seen.clear()
-        index: dict[str, int] = {}
-        at = np.fromiter((index.setdefault(w, len(index)) for w in words), "int64", len(words))
+        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        at = np.fromiter(map(index.__getitem__, words), "int64", len(words))
         seen, rows = self.seen, np.empty((len(index), LABELS), "float32")
         for w, i in index.items():
             e = seen.get(w)

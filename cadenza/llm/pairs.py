@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.once import computed
 from cadenza.functions.text import is_silence
 from cadenza.llm import pairdata as D
 from cadenza.llm.langid import Field, seed_field, train
@@ -600,7 +601,9 @@ def pairs_of(predictions: DataFrame) -> DataFrame:
             lambda c: (c["f"] == "user") & c["v"].isNotNull() & (F.trim(c["v"]) != "<video>")),
         lambda c: F.struct(c["t"].alias("t"), c["i"].alias("i"), c["v"].alias("v")))
     turns = F.filter("conversations", lambda c: (c["from"] == "assistant") & c["timestamp"].isNotNull() & F.coalesce(~is_silence(c["value"]), F.lit(False)))
-    t = (predictions.select("prediction_id", F.array_sort(users).alias("users"), F.explode(turns).alias("c")))
+    # once per row: beside the explode it would be done again for every turn
+    d = computed(predictions.select("prediction_id", "conversations"), "users", F.array_sort(users))
+    t = d.select("prediction_id", "users", F.explode(turns).alias("c"))
     asked: Column = F.filter("users", lambda u: u["t"] <= F.col("c.timestamp"))
     return t.select("prediction_id", F.col("c.timestamp").cast("int").alias("at_second"),
                     F.try_element_at(asked, F.lit(-1))["v"].alias("question"), F.col("c.value").alias("value"), F.col("c.pred").alias("pred"))
