@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import compress
 from operator import methodcaller
 
 import numpy as np
@@ -54,7 +53,6 @@ _CODE_SPAN = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"://\S+|[wW][wW][wW]\.\S+")
 _SCHEME = re.compile(r"(?:https?|ftp|file)$", re.I)
 _END = re.compile(r"[.!?…]++(?=[\s\"'”’»)\]]|$)[\"'”’»)\]」』]*|[。！？][.!?。！？…]*[\"'”’»)\]」』]*")
-_WORD = re.compile(r"[぀-ゟ]+|[゠-ヿㇰ-ㇿ]+|[㐀-鿿々]{1,4}|[^\W\d_぀-ヿㇰ-ㇿ㐀-鿿々]+(?:['’][^\W\d_]+)*")
 
 
 def _unfenced(text: str) -> str:
@@ -158,6 +156,32 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _class_of(cp: np.ndarray) -> np.ndarray:
+    cls = _classes()[np.minimum(cp, 0xFFFF)]
+    cls[(cp > 0xFFFF) & (cp < 0x1F000)] = _LETTER  # letters of other planes; what lies behind are pictures and rare ideographs
+    return cls
+
+
+def _words(cls: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: a run of letters with the apostrophes inside it, of Hiragana, of Katakana, or up to four ideographs."""
+    kind = ((cls == _LOWER) | (cls == _UPPER) | (cls == _LETTER)).astype("int8")
+    wide = cp >= 0x3005
+    if wide.any():
+        kind[wide & (cp >= 0x3040) & (cp <= 0x309F)] = 2
+        kind[wide & ((cp >= 0x30A0) & (cp <= 0x30FF) | (cp >= 0x31F0) & (cp <= 0x31FF))] = 3
+        kind[wide & ((cp >= 0x3400) & (cp <= 0x9FFF) | (cp == 0x3005) | (cp >= 0x20000) & (cp < 0x40000))] = 4
+    inner = ((cp == 0x27) | (cp == 0x2019))[1:-1] & (kind[:-2] == 1) & (kind[2:] == 1)
+    kind[1:-1][inner] = 1
+    edges = np.flatnonzero(np.diff(kind)) + 1
+    start, end = np.concatenate([[0], edges]), np.append(edges, len(kind))
+    some = kind[start] > 0
+    start, end, kind = start[some], end[some], kind[start[some]]
+    pieces = np.where(kind == 4, (end - start + 3) // 4, 1)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, end, han = np.repeat(start, pieces) + 4 * nth, np.repeat(end, pieces), np.repeat(kind == 4, pieces)
+    return start, np.where(han, np.minimum(start + 4, end), end)
+
+
 def _names(cls: np.ndarray, cp: np.ndarray) -> np.ndarray:
     """Where paths, addresses and identifiers stand: runs of word signs with a slash, an underscore, an @, or a letter before a digit."""
     cjk = (cp >= 0x3040) & (cp <= 0x9FFF)
@@ -185,7 +209,7 @@ def prose(text: str) -> str:
     """The text with marked code, tags, links and names in signs replaced by blanks, of the same length."""
     big, at = _masked([text])
     cp = _codes(big)
-    cls = _classes()[np.minimum(cp, 0xFFFF)]
+    cls = _class_of(cp)
     cp = np.where(_names(cls, cp), 32, cp).astype("<u4")
     return cp.tobytes().decode("utf-32-le", "surrogatepass")[at[0]:at[0] + len(text)]
 
@@ -194,13 +218,11 @@ def parse(texts: list[str]) -> Parsed:
     """The words of texts, their sentences and lines, and the features of layout."""
     big, offsets = _masked(texts)
     cp = _codes(big)
-    cls = _classes()[np.minimum(cp, 0xFFFF)]
-    found = list(_WORD.finditer(big))
-    start = np.fromiter(map(methodcaller("start"), found), "int64", len(found))
+    cls = _class_of(cp)
+    start, end = _words(cls, cp)
     keep = ~_names(cls, cp)[start]
-    words = list(compress(map(methodcaller("group"), found), keep.tolist()))
-    start = start[keep]
-    end = start + np.fromiter(map(len, words), "int64", len(words))
+    start, end = start[keep], end[keep]
+    words = [big[a:b] for a, b in zip(start.tolist(), end.tolist())]
     breaks = np.flatnonzero(cp == 10)
     bounds = np.union1d(np.fromiter(map(methodcaller("end"), _END.finditer(big)), "int64"), breaks)
     sentence = np.searchsorted(bounds, start, "right")

@@ -64,6 +64,13 @@ def test_layout_alone_erases_no_prose(field):
     assert sum(bool(p) for p in code) == 0, [(t, p) for t, p in zip(LINES, code) if p]
 
 
+def test_words():
+    got = langid.parse(["L'été n’est pas 3D, o'clock' Дом.", "", "ひらカタ漢字漢字漢字々x 第1章", "a_b c/d x@y.z ok"])
+    assert got.words == ["L'été", "n’est", "pas", "D", "o'clock", "Дом", "ひら", "カタ", "漢字漢字", "漢字々", "x", "第", "章", "ok"]
+    assert got.doc.tolist() == [0] * 6 + [2] * 7 + [3] and [got.text[a:a + len(w)] for a, w in zip(got.start, got.words)] == got.words
+    assert langid.parse([]).words == langid.parse(["", " "]).words == []
+
+
 def test_no_length_changes_what_is_masked():
     for n in (1, 100, 300, 5000):
         assert langid.prose(f"<b {'x' * n}>Das Haus</b> {'y' * n}@z.org /{'p' * n}/q https://{'h' * n} `{'c' * n}`").split() == ["Das", "Haus"]
