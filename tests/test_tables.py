@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from cadenza.models import Echo, Reply, chat_payload, chat_reply, contents_payload, contents_reply, template_messages, with_retry
+from cadenza.models import Echo, Http, Local, Reply, ServiceError, chat_payload, chat_reply, contents_payload, contents_reply, is_final, template_messages, with_retry
 from cadenza.operators import compaction, hotkeys
 from cadenza.plans import report
 from cadenza.plans.hot import keyed
@@ -179,6 +179,57 @@ def test_models():
     assert with_retry(broken, sleep=lambda s: None)("", []).text is None and len(calls) == 1
 
 
+def test_final_errors_by_status():
+    for text, final in (("404 not found", True), ("status code: 403", True), ("HTTP/1.1 400 Bad Request", True), ("took 4001 ms", False), ("error 429", False), ("status: 429", False), ("status=503", False), ("read 404 bytes", False)):
+        assert is_final(OSError(text)) == final, text
+    assert is_final(ServiceError("no", 401)) and not is_final(ServiceError("slow", 408)) and not is_final(ServiceError("gone", 500)) and is_final(FileNotFoundError("x.mp4"))
+
+
+def test_local_models_and_transport():
+    import http.server
+    import threading
+
+    said = Local(lambda m: (m[-1]["content"][0]["text"].upper(), (3, 2)))("sys", [{"role": "user", "parts": [{"kind": "text", "text": "go"}, {"kind": "video", "text": ""}]}])
+    assert said == Reply("GO", 3, 2, 5, 1)
+    assert contents_reply({"candidates": [{"content": {"parts": [{"text": "hm", "thought": True}]}}]}).text == "" and contents_reply({"candidates": [{}]}).text == ""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200 if self.headers["Authorization"] == "Bearer k" else 403)
+            self.end_headers()
+            self.wfile.write(json.dumps({"got": body}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert Http(url, "k", timeout=5)({"a": 1}) == {"got": {"a": 1}}
+    try:
+        Http(url, "wrong", timeout=5)({})
+        raise AssertionError
+    except ServiceError as e:
+        assert e.status == 403 and is_final(e)
+    server.shutdown()
+
+
+def test_names_and_tails(spark):
+    from cadenza.functions import numbers, paths
+
+    d = spark.createDataFrame([("a/b.veryLongExtension",), ("b.c.mp4",), (".hidden",), ("plain",), (None,)], "p string")
+    assert [r[0] for r in d.select(paths.stem(F.col("p"))).collect()] == ["b", "b.c", ".hidden", "plain", None]
+    t = spark.range(200).select(F.concat(F.lit("v"), "id").alias("k")).select(numbers.tail_seconds(F.col("k"), text=True).alias("t"))
+    assert {r.t for r in t.collect()} == set(range(10, 16))
+
+
+def test_counts_without_a_job_of_their_own(spark):
+    df, seen = sinks.log_counts(spark.range(7), "rows")
+    df.write.format("noop").mode("overwrite").save()
+    assert sinks.report(seen, "rows") == 7
+
+
 def test_replay_feeds_back_and_streams(spark, tmp_path):
     ddl = "session_id long, video_id string, videos array<string>, conversations array<struct<`from`: string, value: string, timestamp: double>>"
     rows = [(k, None, ["v.mp4"], [("user", "please do it now", float(k)), ("assistant", "a", 3.0), ("assistant", "b", 3.4), ("user", "then that", 4.0), ("assistant", "c", 8.0)]) for k in range(3)]
